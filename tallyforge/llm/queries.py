@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat_format, packing, token_files
+from tallyforge.llm import chat_format, maxscore, packing, secrets, token_files, url_filter
 from tallyforge.llm.common import saved, scratch_path, table
 
 #: Conversation -7 of the contract: both texts hold what looks like the template.
@@ -44,12 +44,61 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=4096)
 
 
+#: Parts of the dated list of op4, from the digest of each host: which hosts are blocked, from when, for how long, and which have an allowed folder.
+LIST_SQL = """
+    SELECT 'host' AS kind, host AS value, 'block' AS verdict, 'add' AS action, {start} AS day FROM hosts WHERE substr(digest, 1, 1) < '8'
+    UNION ALL SELECT 'host', host, 'block', 'remove', {stop} FROM hosts WHERE substr(digest, 1, 1) < '4'
+    UNION ALL SELECT 'prefix', concat(host, '/en/'), 'allow', 'add', {start} FROM hosts WHERE substr(digest, 5, 1) < '8'
+    UNION ALL SELECT 'domain', 'example.net', 'block', 'add', CAST('2024-03-01' AS DATE)
+    UNION ALL SELECT 'domain', 'example.net', 'block', 'remove', CAST('2024-05-01' AS DATE)
+    UNION ALL SELECT 'domain', 'example.net', 'block', 'add', CAST('2025-01-15' AS DATE)
+    UNION ALL SELECT 'domain', 'org', 'block', 'add', CAST('2024-09-01' AS DATE)
+"""
+
+
+def list_changes(captures: DataFrame) -> DataFrame:
+    """The dated list of op4: entries for every host of the captures, and a few fixed domains."""
+    hosts = captures.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct().withColumn("digest", F.md5("host"))
+    nth = "(ascii(substr(digest, {0}, 1)) * 7 + ascii(substr(digest, {1}, 1)) * 3)"
+    start = f"date_add(DATE'2024-01-01', {nth.format(2, 3)} % 400)"
+    sql = LIST_SQL.format(start=start, stop=f"date_add({start}, 30 + {nth.format(4, 5)} % 180)").replace("FROM hosts", "FROM {hosts}")
+    return captures.sparkSession.sql(sql, hosts=hosts)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture held against the list entries of its day (capture days run over two years by page_id)."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_on"))
+    judged = url_filter.judge(captures, list_changes(captures))
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "entry_since")})
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents entered in a fresh ledger; its findings joined back to every document."""
+    ledger = secrets.BlobLedger(spark, scratch_path(spark, "ledger"))
+    paths = ledger.update(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    ledger.enter(paths)
+    return secrets.digests(ledger.findings_of(paths))
+
+
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors for each vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 QUERIES = {
+    "op4_url_filter": op4_url_filter,
+    "op5_secrets": op5_secrets,
     "op6_chat_format": op6_chat_format,
+    "op8_maxscore": op8_maxscore,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }
 
+_NTH = "(ascii(substr(digest, {0}, 1)) * 7 + ascii(substr(digest, {1}, 1)) * 3)"
+_DUCK_START = f"CAST(DATE '2024-01-01' + CAST({_NTH.format(2, 3)} % 400 AS INTEGER) AS DATE)"
+
 ORACLE_SQL = {
     "op6_chat_format": r"""
         WITH turns AS (
@@ -68,4 +117,37 @@ ORACLE_SQL = {
                CAST(sum(n + CASE WHEN joined THEN 6 ELSE 4 + length(role) + 1 + 8 END) AS BIGINT) AS formatted_chars
         FROM coded GROUP BY conv_id
     """,
+    "op4_url_filter": """
+        WITH captures AS (
+            SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 7919) % 730 AS INTEGER) AS DATE) AS fetched_on,
+                   nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\\.?(:[0-9]*)?$', '')), '') AS host,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), hosts AS (SELECT DISTINCT host, md5(host) AS digest FROM captures WHERE host IS NOT NULL
+        ), changes AS (""" + LIST_SQL.format(start=_DUCK_START, stop=f"{_DUCK_START} + CAST(30 + {_NTH.format(4, 5)} % 180 AS INTEGER)") + """), valid AS (
+            SELECT * FROM (
+                SELECT kind, value, verdict, action, day AS since, lead(day) OVER (PARTITION BY kind, value, verdict ORDER BY day) AS until FROM changes
+            ) WHERE action = 'add'
+        ), hits AS (
+            SELECT c.page_id, v.kind, v.value, v.verdict, v.since,
+                   row_number() OVER (PARTITION BY c.page_id ORDER BY CASE v.kind WHEN 'prefix' THEN 2 WHEN 'host' THEN 1 ELSE 0 END DESC, length(v.value) DESC) AS place
+            FROM captures c JOIN valid v
+              ON ((v.kind = 'host' AND c.host = v.value)
+                  OR (v.kind = 'domain' AND (c.host = v.value OR ends_with(c.host, '.' || v.value)))
+                  OR (v.kind = 'prefix' AND starts_with(c.host || c.path, v.value)))
+             AND v.since <= c.fetched_on AND (v.until IS NULL OR c.fetched_on < v.until)
+        )
+        SELECT c.page_id, c.url, CAST(c.fetched_on AS VARCHAR) AS fetched_on, c.host, coalesce(h.verdict, 'allow') AS verdict, h.kind AS entry_kind, h.value AS entry, CAST(h.since AS VARCHAR) AS entry_since
+        FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.place = 1
+    """,
+    "op8_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
 }
