@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat_format, maxscore, packing, secrets, token_files, url_filter
+from tallyforge.llm import chat_format, decontam, langid, maxscore, packing, secrets, token_files, url_filter
 from tallyforge.llm.common import saved, scratch_path, table
 
 #: Conversation -7 of the contract: both texts hold what looks like the template.
@@ -65,6 +65,18 @@ def list_changes(captures: DataFrame) -> DataFrame:
     return captures.sparkSession.sql(sql, hosts=hosts)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a filter fitted on labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item or something very like one, with the item and the place."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's capture held against the list entries of its day (capture days run over two years by page_id)."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int"))
@@ -88,6 +100,8 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_chat_format": op6_chat_format,

@@ -91,7 +91,7 @@ def window_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int =
     out = np.zeros(m, dtype=U64)
     for j in range(width):
         out *= BASE
-        out[: m - j] += mixed(words[j:] + U64(j + 1))
+        out[: max(0, m - j)] += mixed(words[j:] + U64(j + 1))
     at = np.arange(m)
     whole = at + width <= starts[doc + 1]
     short = np.flatnonzero((counts > 0) & (counts < width))
