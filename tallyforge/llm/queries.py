@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat_format, decontam, langid, maxscore, packing, secrets, token_files, url_filter
+from tallyforge.llm import chat_format, decontam, jaccard_join, langid, maxscore, packing, secrets, token_files, url_filter
 from tallyforge.llm.common import saved, scratch_path, table
 
 #: Conversation -7 of the contract: both texts hold what looks like the template.
@@ -93,6 +93,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(ledger.findings_of(paths))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class under exact Jaccard links of at least 0.8 on five-word shingles."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best other vectors for each vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -105,6 +110,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_chat_format": op6_chat_format,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_maxscore": op8_maxscore,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
@@ -154,6 +160,22 @@ ORACLE_SQL = {
         SELECT c.page_id, c.url, CAST(c.fetched_on AS VARCHAR) AS fetched_on, c.host, coalesce(h.verdict, 'allow') AS verdict, h.kind AS entry_kind, h.value AS entry, CAST(h.since AS VARCHAR) AS entry_since
         FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.place = 1
     """,
+    "op7_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+        ), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+    """,
     "op8_maxscore": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
