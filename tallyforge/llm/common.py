@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,9 +33,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    # shuffle files go when the driver's JVM collects their owners; long chains of steps would else pile them up
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
