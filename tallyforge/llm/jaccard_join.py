@@ -389,3 +389,12 @@ def jaccard_join(docs: DataFrame, part: int = PART) -> DataFrame:
     least = saved(filled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
     linked = filled.join(least, "root").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, with its own columns, less all but the least id of each class; of repeated rows one stays."""
+    classes = saved(jaccard_join(docs), "classes")
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    kept = saved(first.distinct(), "kept-ids")
+    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    return out if kept.count() == first.count() else out.dropDuplicates(["doc_id", "text"])

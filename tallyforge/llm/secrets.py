@@ -122,12 +122,14 @@ class BlobLedger:
         rows = paths.select("blob").distinct().join(known, "blob", "left_anti")
         rows.withColumn("rules", F.lit(RULES_VERSION)).write.mode("append").parquet(f"{self.folder}/scanned")
 
+    def unique_findings(self) -> DataFrame:
+        """One row for each blob with findings, also after repeated rows or an update that broke off."""
+        findings = self.findings()
+        return findings if findings.groupBy("blob").count().where("count > 1").isEmpty() else findings.dropDuplicates(["blob"])
+
     def findings_of(self, paths: DataFrame) -> DataFrame:
         """paths (path, blob, any more) with spans; a blob that many paths share is joined as a skewed key."""
-        findings = self.findings()
-        if not findings.groupBy("blob").count().where("count > 1").isEmpty():  # repeated rows, or an update that broke off
-            findings = findings.dropDuplicates(["blob"])
-        return paths.join(findings, "blob", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
+        return paths.join(self.unique_findings(), "blob", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
 
 
 def address(text: Column) -> Column:
@@ -163,3 +165,15 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
         ),
     )
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def without_secrets(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
+    """docs, with its own columns, its secrets masked; n_chars, if there, is that of the new text."""
+    ledger.enter(ledger.update(docs.select(F.col("doc_id").alias("path"), "text")))
+    found = ledger.unique_findings().select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
+    joined = docs.join(found.hint("shuffle_hash"), address(docs["text"]) == F.col("found_blob"), "left")
+    masked = F.when(F.col("found_spans").isNull(), docs["text"]).otherwise(redacted(docs["text"], F.col("found_spans")))
+    changed = {"text": masked}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("found_spans").isNull(), docs["n_chars"]).otherwise(F.length(masked)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))

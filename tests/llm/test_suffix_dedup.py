@@ -75,7 +75,8 @@ def test_huge_texts_in_pieces(spark, monkeypatch):
 
 
 def test_kept_and_spans(spark):
-    a = "".join(random.Random(1).choice("abcdefgh") for _ in range(250))
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcdefgh") for _ in range(250))
     df = spark.createDataFrame([(1, a), (2, "head " + a[50:] + " tail")], "doc_id long, text string")
     got = {r.doc_id: (bytes(r.kept), r.spans) for r in suffix_dedup.deduplicate(df).collect()}
     assert got == {1: (a.encode(), []), 2: (b"head  tail", [5, 205])}
