@@ -36,10 +36,10 @@ from tallyforge.llm.shingles import BASE, BASE_INVERSE, U64, mixed, powers
 
 LENGTH = 100  # bytes of a string
 ROUNDS = (25, 50, 100)  # ranked bytes
-PIECE = 1 << 25
+PIECE = 1 << 21
 HOT = 16  # segments of a batch with one rank
 NO_ID = np.iinfo(np.int64).max
-PLACE_BITS = 26
+PLACE_BITS = 23
 SEGMENTS, FREQUENT, REPEATED, CONTESTED = range(4)
 
 _BYTES = mixed(np.arange(1, 257, dtype=U64) * BASE)
@@ -99,7 +99,7 @@ def segments(ranks: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document id, text hash, place in the document) of batches; huge texts come in overlapping pieces."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PIECE):
         raw, offsets = utf8_bytes(batch.column("text"))
         doc, tie, at = (batch.column(c).to_numpy() for c in ("doc_id", "tie", "at"))
         if len(raw) <= PIECE + LENGTH:
