@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import forget, saved
+from tallyforge.llm.common import saved
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the least node of its component.
 
     A round replaces each link by links to the least neighbour, so long chains halve and no node's neighbours are ever
-    gathered: only minima are, which combine before the shuffle. Each round is written to the shared folder.
+    gathered: the least is found by a minimum, which combines before the shuffle, and reaches a node with very many
+    neighbours by a join, which may be split. Rounds are written to the shared folder and end when one changes nothing.
     """
-    pairs = links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct()
-    pairs = saved(pairs, "links")
-    while True:
+    pairs = saved(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), "links")
+    before = None
+    while (now := _content(pairs)) != before:
+        before = now
         both = pairs.unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        # large star: neighbours above a node go to its least neighbour (or itself)
+        # large star: neighbours above a node go to its least neighbour, or to itself
         least = saved(both.groupBy(F.col("low").alias("v")).agg(F.least(F.min("high"), F.first("low")).alias("m")), "least")
         large = pairs.join(least, F.col("low") == F.col("v")).select(F.col("m").alias("low"), "high").where("low < high").distinct()
-        large = saved(large, "large")
-        # small star: a node and its lower neighbours go to the least of them
-        lower = saved(large.groupBy(F.col("high").alias("v")).agg(F.min("low").alias("m")), "lower")
-        small = large.join(lower, F.col("high") == F.col("v")).select("v", "low", "m")
-        turned = small.select(F.col("m").alias("low"), F.col("v").alias("high")).unionByName(small.select(F.col("m").alias("low"), F.col("low").alias("high")))
-        after = saved(turned.where("low < high").distinct(), "links")
-        same = after.count() == pairs.count() and after.join(pairs, ["low", "high"], "left_anti").isEmpty()
-        for t in (pairs, least, large, lower):
-            forget(t)
-        pairs = after
-        if same:
-            break
+        # small star: a node and its lower neighbours, of which the large star left few, go to the least of them
+        small = large.withColumn("m", F.min("low").over(Window.partitionBy("high")))
+        turned = small.select(F.explode(F.array(F.struct(F.col("m").alias("low"), "high"), F.struct(F.col("m").alias("low"), F.col("low").alias("high")))).alias("p"))
+        pairs = saved(turned.select("p.*").where("low < high").distinct(), "links")
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
+
+
+def _content(pairs: DataFrame) -> tuple:
+    """The number of links and a hash of them all."""
+    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("low", "high"))).first())

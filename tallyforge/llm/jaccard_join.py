@@ -327,8 +327,8 @@ def _tasks(rows: DataFrame) -> DataFrame:
     return rows.select(*columns).repartition("task").sortWithinPartitions("task").mapInArrow(_verify, LINKS)
 
 
-def link_sets(sets: DataFrame, part: int = PART) -> DataFrame:
-    """Links (a, b) that join every component of sets (node, n, shingles, counts) whose pairs are alike."""
+def set_roots(sets: DataFrame, part: int = PART) -> DataFrame:
+    """(node, root) of the sets (node, n, shingles, counts) that are alike to another, by class."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,37 +338,38 @@ def link_sets(sets: DataFrame, part: int = PART) -> DataFrame:
 
     posted = saved(sets.select("node", "n", "shingles", "counts").mapInArrow(postings, "node long, shingle long"), "postings")
     hubs = saved(posted.groupBy("shingle").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", "hub"), "hubs")
-    blocks = saved(components(posted.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "blocks").withColumnRenamed("root", "block")
-    # the smallest set of a block bounds what the others need to share with anything there
+    blocks = components(posted.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "block")
     own = sets.select("node", "n", (F.length("shingles") / 8).cast("long").alias("c"))
     sized = saved(own.join(blocks, "node").select("node", "block", "n", "c"), "sized")
-    least = saved(sized.groupBy("block").agg(F.min("n").alias("least")), "least-sizes")
-    fit = saved(sized.join(least, "block").where(F.col("c") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))).select("node", "block"), "fitting")
-    count = saved(fit.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").withColumn("parts", F.ceil(F.col("k") / part)), "block-sizes")
-    members = saved(
-        sets.join(fit.join(count, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "node").select("node", "n", "shingles", "counts", "block", "part", "parts"),
-        "members",
-    )
+    stats = saved(sized.groupBy("block").agg(F.min("n").alias("least"), F.ceil(F.count(F.lit(1)) / part).alias("parts")), "block-sizes")
+    # the smallest set of a block bounds what the others need to share with anything there
+    fit = sized.join(stats, "block").where(F.col("c") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))).select("node", "block", "parts")
+    members = saved(sets.join(fit, "node").select("node", "n", "shingles", "counts", "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts"), "members")
     # each set meets part 0 of its block; a block of one part is then done
     first = members.withColumn("root", F.col("node")).withColumn("to", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
     first = first.withColumn("task", F.struct("block", F.col("to").alias("x"), F.lit(0).cast("long").alias("y")))
     first = first.withColumn("side", F.when(F.col("part") > 0, 2).when(F.col("to") > 0, 1).otherwise(3))
-    links = saved(_tasks(_packed_task(first)), "first-links")
-    large = saved(members.where("parts > 1"), "large-blocks")
-    if large.isEmpty():
-        return links
-    joined = saved(components(links), "first-roots")
-    large = large.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = saved(large, "large-rooted")
+    roots = components(_tasks(_packed_task(first)))
+    if members.where("parts > 1").isEmpty():
+        return roots
+    large = members.where("parts > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = saved(large, "large-blocks")
     # inside the largest component of a block, nothing is left to find; whatever is outside meets all
-    biggest = large.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("m")).select("block", F.col("m.root").alias("giant"))
-    rest = saved(large.select("node", "block", "root").join(saved(biggest, "giants"), "block").where("root != giant").select("node", "block"), "rest")
-    rest_parts = saved(rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part).alias("rest_parts")), "rest-parts")
-    wide = saved(large.join(rest_parts, "block"), "met-blocks")
+    sizes = large.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("k"))
+    rest = saved(sizes.select("block", F.col("m.root").alias("giant"), F.ceil((F.col("k") - F.col("m.count")) / part).alias("rest_parts")).where("rest_parts > 0"), "rest")
+    wide = large.join(rest, "block")
     left = wide.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1))).withColumn("x", F.col("part")).withColumn("side", F.lit(1))
-    right = wide.join(rest.select("node"), "node", "left_semi").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts"))).withColumn("side", F.lit(2))
+    right = wide.where("root != giant").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts"))).withColumn("side", F.lit(2))
     met = left.unionByName(right.select(*left.columns)).withColumn("task", F.struct("block", "x", "y"))
-    return links.unionByName(saved(_tasks(_packed_task(met)), "second-links"))
+    more = saved(_tasks(_packed_task(met)), "second-links")
+    if more.isEmpty():
+        return roots
+    known = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
+    named = more.join(known, F.col("a") == F.col("n"), "left").select(F.coalesce("r", "a").alias("a"), "b")
+    named = named.join(known, F.col("b") == F.col("n"), "left").select("a", F.coalesce("r", "b").alias("b"))
+    later = saved(components(named), "later-roots").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    every = roots.unionByName(later.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
+    return every.join(later, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def _packed_task(rows: DataFrame) -> DataFrame:
@@ -383,7 +384,7 @@ def jaccard_join(docs: DataFrame, part: int = PART) -> DataFrame:
     counted = dealt.mapInArrow(_counted(buckets), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     sets = saved(counted.mapInArrow(_kept, SETS), "shingle-sets")
     rows = sets.where("shingles is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
-    roots = saved(components(link_sets(sets.where("shingles is not null"), part)), "set-roots")
+    roots = set_roots(sets.where("shingles is not null"), part)
     placed = saved(rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "placed")
     filled = placed.where("n_shingles > 0")
     least = saved(filled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import boards
+from tallyforge.plans import addresses, boards, sequences
 
-MODULES = (boards,)
+MODULES = (boards, addresses, sequences)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
