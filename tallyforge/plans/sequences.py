@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import arrays as A
@@ -13,13 +13,15 @@ from tallyforge.operators import sequences as S
 from tallyforge.sources.bindings import ITEMS_SQL, line_items, table
 from tallyforge.streaming import scan_events
 
-#: Bytes of a line item's photograph, and the order of a lot's photographs.
-SIZE = (F.col("quantity") * 1000 + F.col("item_seq")).cast("long")
-ORDER = F.struct("item_seq", "part_id", "quantity", "retail")
+
+def _order() -> Column:
+    """The order of a lot's photographs."""
+    return F.struct("item_seq", "part_id", "quantity", "retail")
 
 
 def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_items(spark, sf_dir).withColumn("n", SIZE)
+    """Line items as photographs of n bytes."""
+    return line_items(spark, sf_dir).withColumn("n", (F.col("quantity") * 1000 + F.col("item_seq")).cast("long"))
 
 
 _PHOTOS = f"WITH RECURSIVE photos AS (SELECT *, CAST(quantity * 1000 + item_seq AS BIGINT) AS n, row_number() OVER (PARTITION BY lot_id ORDER BY item_seq, part_id, quantity, retail) AS p FROM ({ITEMS_SQL}))"
@@ -32,17 +34,17 @@ def pieces_of_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = S.prefix_budget(_photos(spark, sf_dir), "lot_id", ORDER, F.col("n"), 60_000)
+    kept = S.prefix_budget(_photos(spark, sf_dir), "lot_id", _order(), F.col("n"), 60_000)
     return kept.groupBy("lot_id").agg(F.count(F.lit(1)).alias("photos"), F.max("used").alias("used"))
 
 
 def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = S.next_fit(_photos(spark, sf_dir), "lot_id", ORDER, "n", 3, 60_000)
+    b = S.next_fit(_photos(spark, sf_dir), "lot_id", _order(), "n", 3, 60_000)
     return b.groupBy("lot_id", "batch").agg(F.count(F.lit(1)).alias("photos"), F.sum("n").alias("bytes"))
 
 
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = S.greedy_budget(_photos(spark, sf_dir), "lot_id", ORDER, "n", 60_000)
+    g = S.greedy_budget(_photos(spark, sf_dir), "lot_id", _order(), "n", 60_000)
     return g.groupBy("lot_id").agg(F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("over"), F.sum(F.when(F.col("taken"), F.col("n")).otherwise(0)).alias("bytes"))
 
 
