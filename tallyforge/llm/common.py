@@ -34,7 +34,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers are freed with the file
     del df
     # shuffle files go when the driver's JVM collects their owners; long chains of steps would else pile them up
     gc.collect()

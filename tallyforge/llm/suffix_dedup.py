@@ -36,7 +36,7 @@ from tallyforge.llm.shingles import BASE, BASE_INVERSE, U64, mixed, powers
 
 LENGTH = 100  # bytes of a string
 ROUNDS = (25, 50, 100)  # ranked bytes
-PIECE = 1 << 21
+PIECE = 1 << 20
 HOT = 16  # segments of a batch with one rank
 NO_ID = np.iinfo(np.int64).max
 PLACE_BITS = 23
