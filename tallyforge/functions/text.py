@@ -85,7 +85,7 @@ def page_lot_number(text: Column) -> Column:
 
 def fnv_low32(text: Column, start: int = 0x84222325) -> Column:
     """The low 32 bits of the 64-bit FNV-1a hash of a text's UTF-8 bytes; multiplying keeps low bits low, so 32 suffice."""
-    octets = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+    octets = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
     hashed = F.aggregate(octets, F.lit(start).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(435)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.when(F.octet_length(text) == 0, F.lit(start).cast("long")).otherwise(hashed)
 
