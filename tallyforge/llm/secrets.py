@@ -30,8 +30,8 @@ RULES = (
     ("jwt", re.compile("eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"), 0, 0),
     ("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 0),
 )
-#: Goes up with every change of RULES, so that old blobs are scanned again.
-RULES_VERSION = 1
+#: Goes up with every change of RULES or suspects(), so that old blobs are scanned again.
+RULES_VERSION = 2
 #: Lower-case bytes of which each match but those of hex holds one.
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey", b"akia", b"eyj", b"-----begin ")
 HEX = np.zeros(256, dtype=bool)
@@ -50,7 +50,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The rows of a batch that may hold a finding: one of WORDS, or a run of 24 hexadecimal digits."""
+    """The rows of a batch that may hold a finding: one of WORDS, or a run of 24 hexadecimal digits, which ends with its row."""
     at: list[int] = []
     low = raw.tobytes().lower()
     for word in WORDS:
@@ -61,7 +61,9 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     flags = np.zeros(len(raw) + 2, dtype=np.int8)
     flags[1:-1] = HEX[raw]
     edges = np.flatnonzero(np.diff(flags))
-    first, end = edges[::2], edges[1::2]
+    inside = offsets[(offsets > 0) & (offsets < len(raw))]
+    cuts = np.unique(inside[HEX[raw[inside - 1]] & HEX[raw[inside]]])  # rows that begin within a run
+    first, end = np.sort(np.concatenate((edges[::2], cuts))), np.sort(np.concatenate((edges[1::2], cuts)))
     at += first[end - first >= 24].tolist()
     return np.unique(np.searchsorted(offsets, np.array(at, dtype=np.int64), side="right") - 1)
 

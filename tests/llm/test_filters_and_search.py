@@ -2,10 +2,11 @@ import datetime
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyforge.llm import maxscore, secrets, url_filter
-from tallyforge.llm.common import scratch_path
+from tallyforge.llm.common import scratch_path, utf8_bytes
 from tallyforge.llm.queries import op5_secrets, op8_maxscore
 
 SF = "/root/testdata/sf0.01"
@@ -32,6 +33,17 @@ def test_secrets_over_documents(spark):
     assert sum(r[0] + r[1] + r[2] for r in got.values()) > 0
 
 
+def test_neighbouring_hex_texts_are_all_scanned(spark):
+    key = "0123456789ab" * 2
+    texts = ["", key, key[::-1], "", "made", f"{key} starts", "a" * 23, "b", "c" * 23 + "g", "x" + "d" * 24, "e" * 24, ""]
+    column = pa.array(texts, pa.string())
+    assert secrets.suspects(*utf8_bytes(column)).tolist() == [1, 2, 5, 9, 10]
+    assert secrets.suspects(*utf8_bytes(column[2:9])).tolist() == [0, 3]
+    blobs = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "blob binary, text string").coalesce(1)
+    got = {r.blob[0]: [tuple(s) for s in r.spans] for r in secrets.scan_blobs(blobs).collect()}
+    assert got == {i: s for i, t in enumerate(texts) if (s := secrets.spans_of(t))}
+
+
 def test_ledger_scans_only_unseen_blobs(spark, monkeypatch):
     ledger = secrets.BlobLedger(spark, scratch_path(spark, "ledger"))
     rows = [(1, "secret=abcdefgh"), (2, "secret=abcdefgh"), (3, None), (None, "token=abcdefgh"), (None, "token=abcdefgh"), (4, "x" * 100_000 + " AKIA" + "Z" * 16)]
