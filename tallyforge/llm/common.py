@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.scratch import saved, scratch_path, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
-    return named if "://" in named else f"file://{named}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)  # its buffers are freed with the file
-    del df
-    # shuffle files go when the driver's JVM collects their owners; long chains of steps would else pile them up
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id (as long) and the text (null: empty); any other columns are left behind."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

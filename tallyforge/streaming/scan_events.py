@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.scratch import scratch_path
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files; new files next to it would be read as they come."""
@@ -25,11 +25,25 @@ def first_seen(stream: DataFrame, key: list[str], late: str = "1 hour") -> DataF
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream gives for all that is there now, through a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """What the stream gives for all that is there now, as a table in the shared folder; its state is kept there too.
+
+    In complete mode each batch holds the whole result, so it is written apart and the last one is read.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    path = scratch_path(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        done: list[str] = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+            done.append(f"{path}/batch-{number}")
+
+        writer.foreachBatch(write).start().awaitTermination()
+    else:
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        done = [f"{path}/rows"]
+    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
