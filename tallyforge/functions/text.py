@@ -119,7 +119,7 @@ def identifier_token(raw: Column, hinted: Column) -> Column:
     """A token that looks like a catalogue identifier, in upper case; else null."""
     token = F.regexp_replace(F.upper(F.regexp_replace(raw, f"^[{_EDGE}]+|[{_EDGE}]+$", "")), r"^[\-_.]+|[\-_.]+$", "")
     digits = F.regexp_count(token, F.lit(r"\p{N}"))
-    fine = token.rlike(r"^[\p{L}\p{N}\-_.]{4,24}$") & (digits > 0) & (F.size(F.array_distinct(F.split(token, "(?!^)"))) >= 3)
+    fine = token.rlike(r"^[\p{L}\p{N}\-_.]{4,24}$") & (digits > 0) & (F.size(F.array_distinct(F.regexp_extract_all(token, F.lit("."), F.lit(0)))) >= 3)
     kept = F.when(token.rlike(r"\p{L}"), F.length(token) >= 5).when(digits.between(8, 14), True).otherwise(hinted & digits.between(4, 7))
     return F.when(fine & kept, token)
 
