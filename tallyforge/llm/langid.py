@@ -1,12 +1,14 @@
 """Language identification with a language-bitmask n-gram filter.
 
-A bit-sliced Bloom filter holds the n-grams of all languages at once: each slot is a word with one bit a language, and
+A bit-sliced Bloom filter holds the n-grams of all languages at once: each slot has one bit a language, in as many words
+of 64 bits as the languages need, and
 the AND of an n-gram's slots is the set of languages that contain it (or seem to). A text's language is decided by the
 popcount of each bit over the text's n-grams, corrected for the false positives that the filter's fill predicts.
 
 An n-gram counts as contained in a language when it occurs at least MIN_COUNT times in the language's sample and its
 share there is at least a quarter of its highest share in any language. The filter is fitted on a bounded, hashed sample
-of labelled rows (PER_LANGUAGE documents of each language, expected) and has a fixed size; predictions read every whole
+of labelled rows (PER_LANGUAGE documents of each language, expected), keeps the MAX_GRAMS commonest n-grams of each and
+takes 8 MB for every 64 languages; predictions read every whole
 text, and neither labels nor sources nor ids.
 
 N-grams are runs of N bytes of the text with A-Z lowered and runs of digits, marks and blanks as spaces. A null text and
@@ -33,7 +35,7 @@ HASHES = 3
 PER_LANGUAGE = 4000
 MIN_COUNT = 3
 MAX_GRAMS = 200_000  # of a language
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 UNKNOWN = "und"
 
 #: Bytes as the n-grams see them: letters and parts of non-ASCII characters stay, A-Z are lowered, all others are spaces.
@@ -43,7 +45,7 @@ SPACES = np.uint32(0x20202020)
 
 @dataclass
 class Model:
-    """slots[i] holds bit l where language l claims the slot; false_rate is by language."""
+    """slots[l // 64, i] holds bit l % 64 where language l claims slot i; false_rate is by language."""
 
     languages: list[str]
     slots: np.ndarray
@@ -79,10 +81,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from docs (doc_id, text, lang) that are labelled and not held out."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, U64), np.zeros(0), 0)
+        return Model([], np.zeros((0, 1 << SLOT_BITS), U64), np.zeros(0), 0)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
     number = {lang: i for i, lang in enumerate(languages)}
@@ -106,15 +108,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         totals[i] = max(1, own["n"].sum())
         found.append((own["gram"].to_numpy(np.uint32), own["n"].to_numpy(np.float64) / totals[i]))
     everything = np.unique(np.concatenate([g for g, _ in found])) if found else np.zeros(0, np.uint32)
-    shares = np.zeros((len(languages), len(everything)))
-    for i, (g, s) in enumerate(found):
-        shares[i, np.searchsorted(everything, g)] = s
-    holds = (shares > 0) & (shares >= shares.max(axis=0, initial=0) / 4)
-    slots = np.zeros(1 << SLOT_BITS, dtype=U64)
-    for i in range(len(languages)):
-        for at in _slots(everything[holds[i]]):
-            slots[at] |= U64(1 << i)  # the same bit for all, so repeated slots do no harm
-    fill = np.array([np.count_nonzero(slots & U64(1 << i)) / len(slots) for i in range(len(languages))])
+    highest = np.zeros(len(everything))
+    for g, share in found:
+        at = np.searchsorted(everything, g)
+        highest[at] = np.maximum(highest[at], share)
+    slots = np.zeros((-(-len(languages) // WORD_BITS), 1 << SLOT_BITS), dtype=U64)
+    fill = np.zeros(len(languages))
+    for i, (g, share) in enumerate(found):
+        word, bit = slots[i // WORD_BITS], U64(1 << (i % WORD_BITS))
+        for at in _slots(g[share >= highest[np.searchsorted(everything, g)] / 4]):
+            word[at] |= bit  # the same bit for all, so repeated slots do no harm
+        fill[i] = np.count_nonzero(word & bit) / len(word)
     return Model(languages, slots, fill**HASHES, languages.index(max(counts, key=lambda x: (counts[x], x))))
 
 
@@ -125,17 +129,19 @@ def scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(raw) or not model.languages:
         return out
     gram, whole = grams(raw, offsets)
-    small = model.slots.astype(np.uint8) if len(model.languages) <= 8 else model.slots
-    first, *others = _slots(gram)
-    mask = small[first]
-    for at in others:
-        mask &= small[at]
-    mask[~whole] = 0
+    places = _slots(gram)
     sums = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[offsets])
     total = sums(whole)
-    for i, rate in enumerate(model.false_rate):
-        hits = sums((mask >> mask.dtype.type(i)) & mask.dtype.type(1))
-        out[:, i] = np.clip((hits - total * rate) / max(1e-9, 1 - rate), 0, None)
+    for k, word in enumerate(model.slots):
+        rates = model.false_rate[k * WORD_BITS : (k + 1) * WORD_BITS]
+        small = word.astype(np.uint8) if len(rates) <= 8 else word
+        mask = small[places[0]]
+        for at in places[1:]:
+            mask &= small[at]
+        mask[~whole] = 0
+        for i, rate in enumerate(rates):
+            hits = sums((mask >> mask.dtype.type(i)) & mask.dtype.type(1))
+            out[:, k * WORD_BITS + i] = np.clip((hits - total * rate) / max(1e-9, 1 - rate), 0, None)
     return out
 
 
@@ -152,7 +158,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """lang_pred and score of each row of docs (text), after the columns to keep (doc_id, if none are named)."""
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for every 64 languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -2,6 +2,7 @@ import collections
 import re
 import zlib
 
+import corpus_pipeline
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,23 @@ def test_language_edge_rows(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_stage_drops_texts_without_a_known_ngram(spark):
+    docs = [(i, "the house and the tree " * 5 if i % 2 else "das haus und der baum " * 5, "en" if i % 2 else "de", "x", 100) for i in range(200)]
+    odd = [(1000, "漢字", None, "x", 2), (1001, "zzqx qqxz", None, "x", 9), (1002, "1 2", None, "x", 3), (1003, "the tree", None, "x", 8)]
+    rows = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted(r.doc_id for r in corpus_pipeline.with_language(spark, rows, SF).collect()) == [*range(200), 1003]
+
+
+def test_more_than_64_languages_are_all_learned(spark):
+    names = [f"l{i:02}" for i in range(70)]
+    word = lambda i: "bcdfghjkl"[i // 9] + "aeiouyäöü"[i % 9] * 3 + "mnpqrstvw"[i % 9]
+    docs = [(k * 100 + i, f"{word(i)} " * 9, lang) for i, lang in enumerate(names) for k in range(8)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.languages == names
+    asked = spark.createDataFrame([(i, f"{word(i)} " * 5) for i in range(70)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, model).collect()} == dict(enumerate(names))
+
+
 def _windows(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
