@@ -16,12 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a Python worker handles at a time, and of an Arrow batch that it is sent.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to send Arrow batches of at most BATCH_BYTES, so that memory follows neither rows nor texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id (as long) and the text (null: empty); any other columns are left behind."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most max_bytes of text, one row at least, so that memory does not follow the batch."""
     import numpy as np
 
@@ -35,6 +45,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def utf8_bytes(column: pa.Array) -> tuple:

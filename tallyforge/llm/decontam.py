@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import slices, utf8_bytes
+from tallyforge.llm.common import id_text, slices, small_batches, utf8_bytes
 from tallyforge.llm.shingles import U64, mixed, window_hashes, word_hashes
 
 WIDTH = 5
@@ -165,7 +165,7 @@ def _parts(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """LEAKS: the best window of each document and item (item_id, text) that are alike."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = id_text(docs)
     out = None
     for ids, texts in _parts(items):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
@@ -185,6 +185,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, with its own columns, less the documents that hold a leak; no document is shuffled."""
+    docs = small_batches(docs)
     for ids, texts in _parts(items):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import slices, utf8_bytes
+from tallyforge.llm.common import slices, small_batches, utf8_bytes
 from tallyforge.llm.shingles import U64, mixed
 
 N = 4
@@ -70,7 +70,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _slots(gram: np.ndarray) -> list[np.ndarray]:
     h = mixed(gram.astype(U64) + U64(0x1234567))
-    return [((h >> U64(20 * i)) & U64((1 << SLOT_BITS) - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((h >> U64(20 * i)) & U64((1 << SLOT_BITS) - 1)).astype(np.int32) for i in range(HASHES)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -80,7 +80,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from docs (doc_id, text, lang) that are labelled and not held out."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = small_batches(docs).select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             raw, offsets = utf8_bytes(batch.column("text"))
             gram, whole = grams(raw, offsets)
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.uint64)
@@ -157,13 +157,13 @@ def lettered(column: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """lang_pred and score of each row of docs (text), after the columns to keep (doc_id, if none are named)."""
     keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    rows = small_batches(docs).select(*keep) if "text" in keep else docs.select(*keep, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for every 64 languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], dtype=object)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             text = batch.column("text")
             raw, offsets = utf8_bytes(text)
             points = scores(m, raw, offsets)

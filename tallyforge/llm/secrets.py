@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import slices, utf8_bytes
+from tallyforge.llm.common import slices, small_batches, utf8_bytes
 
 #: Kind, pattern, group whose length counts, least length; base kinds first. A match that is too short is dropped, not looked into.
 BASE_KINDS = ("assign", "access", "hex")
@@ -81,7 +81,7 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return blobs.select("blob", "text").mapInArrow(scan, f"blob binary, spans {SPANS}")
+    return small_batches(blobs).select("blob", "text").mapInArrow(scan, f"blob binary, spans {SPANS}")
 
 
 class BlobLedger:

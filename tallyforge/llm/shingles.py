@@ -35,6 +35,7 @@ def _symbols(lower: bool) -> np.ndarray:
 
 
 _POWERS = {}
+KEPT = 1 << 21  # powers that are kept: enough for a batch, not for a single huge text
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -43,9 +44,9 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, dtype=U64)
         have[0] = 1
-        have = _POWERS[int(base)] = np.multiply.accumulate(have)
-        if n > 1 << 25:  # a single huge text: not kept
-            _POWERS.pop(int(base))
+        have = np.multiply.accumulate(have)
+        if n <= KEPT:
+            _POWERS[int(base)] = have
     return have[:n]
 
 

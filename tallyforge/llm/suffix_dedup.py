@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved, slices, utf8_bytes
+from tallyforge.llm.common import saved, slices, small_batches, utf8_bytes
 from tallyforge.llm.jaccard_join import ROWS, _batch, _packed, _split, _unpacked
 from tallyforge.llm.shingles import BASE, BASE_INVERSE, U64, mixed, powers
 
@@ -339,7 +339,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicate(docs: DataFrame, digests: bool = False) -> DataFrame:
     """Each row of docs (doc_id, text) as (doc_id, n_bytes, kept, spans): kept bytes, and first and end of each removed run in turn; or counts and the digest of what is kept."""
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
         F.lit(0).cast("long").alias("at"),

@@ -22,7 +22,8 @@ from tallyforge.llm.shingles import U64, WHITE, hashed_spans
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = 2
-SLOTS = 21  # bits
+SLOTS = 20  # bits
+POOL = 1 << 22  # ids of pieces that a worker keeps before it starts again
 
 
 def _splits_at_blanks(config: dict) -> bool:
@@ -79,7 +80,7 @@ class Encoder:
         self.key = np.zeros(1 << SLOTS, dtype=U64)
         self.at = np.zeros(1 << SLOTS, dtype=np.int64)
         self.size = np.zeros(1 << SLOTS, dtype=np.int32)
-        self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
+        self.pool, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """The library's ids of each text."""
@@ -114,7 +115,7 @@ class Encoder:
             ids = self.whole([x or "" for x in column.to_pylist()])
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())), np.concatenate(([0], np.cumsum(size)))
-        if self.used > 1 << 24:
+        if self.used > POOL:
             self._clear()
         first, end = pieces(raw, offsets)
         hashes = hashed_spans(raw, first, end, lower=True)
