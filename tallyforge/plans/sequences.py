@@ -124,19 +124,35 @@ def pre_price_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.pre_prices(e.select("event_id", text.alias("text"))).select("event_id", "status", "retail", "resale", "confidence")
 
 
+def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as sightings: every second one has its part's code as identifier, every third the part's type as model."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("part_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    code = F.lpad(F.col("part_id").cast("string"), 12, "9")
+    return line_items(spark, sf_dir).join(part, "part_id").select(
+        F.col("lot_id").cast("string").alias("lot"), (F.col("item_seq") * 1_000_000 + F.col("part_id")).cast("long").alias("seq"), "item_seq", "name", "brand", "quantity", "confidence", "retail", "resale",
+        F.when(F.col("part_id") % 2 == 0, F.array(code)).otherwise(F.array().cast("array<string>")).alias("identifiers"),
+    )
+
+
 def product_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lot's line items as sightings, folded greedily."""
-    i = line_items(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand"), "part_id")
-    s = i.select(F.col("lot_id").cast("string").alias("lot"), F.lit(0).alias("batch"), F.col("item_seq").alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.lit("").alias("model"), "quantity", "confidence", F.array(F.lpad(F.col("part_id").cast("string"), 12, "9")).alias("identifiers"), F.array("item_seq").alias("views"))
-    return R.fold(s)
+    s = _sightings(spark, sf_dir)
+    f = R.fold(s.select("lot", F.lit(0).alias("batch"), "seq", "name", "brand", "quantity", "confidence", "identifiers", F.array("item_seq").alias("views")))
+    return f.select("lot", "line", "name", "brand", "quantity", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"), "reason", "confidence", F.array_join("identifiers", ",").alias("identifiers"), F.array_join(F.transform("views", lambda x: x.cast("string")), ",").alias("views"), "sightings")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as photograph objects, merged by identifiers and names within a lot."""
+    unit = lambda c: (F.col(c) / F.col("quantity")).cast("double")
+    o = _sightings(spark, sf_dir).select("lot", "seq", "name", "brand", "quantity", "confidence", "identifiers", unit("retail").alias("unit_retail"), unit("resale").alias("unit_resale"), F.col("item_seq").alias("photo"))
+    o = o.dropDuplicates(["lot", "seq"]).withColumn("keys", R.merge_keys(F.col("name"), F.col("brand"), F.col("identifiers")))
+    return R.merged(o, R.keyed_groups(o))
 
 
 def product_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lot's line items as photograph objects, merged by shared keys; the 12 best lines."""
-    i = line_items(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand"), "part_id")
-    o = i.select(F.col("lot_id").cast("string").alias("lot"), (F.col("item_seq") * 1_000_000 + F.col("part_id")).cast("long").alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), "quantity", "confidence", (F.col("retail") / F.col("quantity")).cast("double").alias("unit_retail"), (F.col("resale") / F.col("quantity")).cast("double").alias("unit_resale"), F.col("item_seq").alias("photo"))
-    o = o.dropDuplicates(["lot", "seq"]).withColumn("keys", R.merge_keys(F.col("name"), F.col("brand"), F.array()))
-    return R.top_lines(R.merged(o, R.keyed_groups(o)))
+    """Each lot's 12 best lines of merged objects."""
+    top = R.top_lines(_merged(spark, sf_dir))
+    return top.select("lot", "place", "label", R.display_name(F.col("name"), F.col("quantity")).alias("name"), "brand", "quantity", "retail", "resale", "confidence", "sightings", R.evidence_text(F.col("identifiers"), F.col("label_text"), F.col("evidence")).alias("evidence"), R.merge_note(F.col("sightings"), F.col("photos")).alias("note"))
 
 
 QUERIES = {
