@@ -1,12 +1,15 @@
 """Exact top-k inner products of integer vectors by MaxScore.
 
-Each dimension is a query term with postings in every shard of the vectors. A query's terms are split by score bounds
-(the largest contribution that a term can make in a part of a shard): terms that together cannot lift a vector to the
-query's current k-th score are non-essential. Essential postings are traversed for all vectors; the other terms are
-probed, most powerful first, only for pairs that are still competitive. Shards' best k are merged per query.
+Each dimension is a query term with postings (the components of all vectors) in every part of a shard; a part holds
+vectors near one of the shard's pivots, so that its least and largest component bound a term's score well. Each query
+visits the parts by their bound, the best first, until no part can lift a vector to the query's current k-th score. In a
+part the query's own terms are put in the order of their bounds there and split: terms that together cannot reach the
+k-th score are non-essential. The postings of essential terms are traversed for all vectors of the part; the other terms
+are probed, most powerful first, only for vectors that are still competitive. Shards' best k are merged per query.
 
-Vectors are packed into blocks inside the tasks that read them, queries likewise; every block of queries is sent to
-every shard of vectors, so each vector is shuffled once, and neither a cross join nor a broadcast is needed.
+Vectors are packed into shards inside the tasks that read them, queries likewise into blocks. A shard's task is sent the
+shard once and then every block of queries, so each vector is shuffled once, and neither a cross join nor a broadcast is
+needed.
 
 Null vectors and vectors with null or non-finite components take no part; missing trailing dimensions count as zero;
 ties go to the smaller id; rows that share the query's id are not candidates; repeated other rows are candidates each.
@@ -16,6 +19,7 @@ Scores have to fit 63 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,8 @@ from tallyforge.llm.common import saved
 
 BLOCK = 1 << 15  # vectors
 QUERIES = 256  # queries a block
-CHUNK = 1 << 12  # vectors scored at a time
+PART = 512  # vectors with bounds of their own
+STEP = 8  # terms probed at a time
 BLOCKS = "block long, ids binary, dims int, vectors binary"
 
 
@@ -80,95 +85,118 @@ def _matrix(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarr
     return ids, np.frombuffer(vectors, kind).reshape(len(ids), dims)
 
 
-class TopK:
-    """The best k (score, smaller id first) of each query so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
-        self.floor = np.full(n, np.iinfo(np.int64).min)
-
-    def offer(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        order = np.lexsort((ids, -scores, query))
-        query, ids, scores = query[order], ids[order], scores[order]
-        for q, a, b in zip(*_runs(query), strict=True):
-            b = min(b, a + self.k)
-            i, s = np.concatenate((self.ids[q], ids[a:b])), np.concatenate((self.scores[q], scores[a:b]))
-            best = np.lexsort((i, -s))[: self.k]
-            self.ids[q], self.scores[q] = i[best], s[best]
-            if len(best) == self.k:
-                self.floor[q] = s[best[-1]]
-
-
-def _runs(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-    return x[at].tolist(), at.tolist(), np.concatenate((at[1:], [len(x)])).tolist() if len(x) else []
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, step: int = 8) -> TopK:
-    """The best k vectors for each query, by MaxScore over parts of the vectors."""
-    dims = max(queries.shape[1], vectors.shape[1])
-    wide = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1])))
-    q, best = wide(queries).astype(np.int64), TopK(len(query_ids), k)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * dims < 2**53
-    kind = np.float64 if exact else np.int64
-    q = q.astype(kind)
-    parts = [slice(0, 8 * k), *(slice(a, a + CHUNK) for a in range(8 * k, len(ids), CHUNK))]
-    for part in parts:
-        c, own = wide(vectors[part]).astype(kind), ids[part]
-        if not len(own):
-            continue
-        bound = np.maximum(q * c.max(axis=0), q * c.min(axis=0))  # query x term
-        order = np.argsort(-bound.sum(axis=0), kind="stable")
-        bound = bound[:, order]
-        rest = np.concatenate((np.cumsum(bound[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1), kind)), axis=1)
-        # terms from `split` on cannot lift any vector to any query's floor by themselves
-        floor = best.floor.astype(kind)
-        split = int(max(step, np.max(np.sum(rest >= floor[:, None], axis=1).clip(max=dims))))
-        split = min(dims, -(-split // step) * step)
-        scores = q[:, order[:split]] @ c[:, order[:split]].T
-        # vectors that are out of the race, and the query's own row, are below every floor
-        alive = scores + rest[:, split, None] >= floor[:, None]
-        alive &= query_ids[:, None] != own[None, :]
-        pair_q, pair_c = np.nonzero(alive)
-        if len(pair_q) > alive.size // 8 and split < dims:
-            scores += q[:, order[split:]] @ c[:, order[split:]].T
+class Shard:
+    """The vectors of a shard in parts, with postings and bounds of every term."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int, part: int = PART):
+        m = np.pad(vectors, ((0, 0), (0, dims - vectors.shape[1])))
+        largest = float(np.abs(m).max(initial=0))
+        self.largest, self.ids, self.parts = largest, [], []
+        near = self._pivots(m.astype(np.float32), -(-len(ids) // part))
+        order = np.argsort(near, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], near[order][1:] != near[order][:-1]))).tolist() + [len(ids)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for c in range(a, b, part):
+                rows = order[c : min(b, c + part)]
+                self.ids.append(ids[rows])
+                self.parts.append(np.ascontiguousarray(m[rows].T))
+        self.high = np.array([p.max(axis=1) for p in self.parts], dtype=np.int64).reshape(-1, dims)
+        self.low = np.array([p.min(axis=1) for p in self.parts], dtype=np.int64).reshape(-1, dims)
+
+    @staticmethod
+    def _pivots(m: np.ndarray, n: int) -> np.ndarray:
+        """The nearest of n evenly dealt vectors, by each vector."""
+        pivots = m[:: max(1, len(m) // max(1, n))][:n]
+        size = (pivots**2).sum(axis=1) / 2
+        return np.concatenate([np.argmax(m[a : a + 4096] @ pivots.T - size, axis=1) for a in range(0, len(m), 4096)]) if len(m) else np.zeros(0, np.int64)
+
+    def postings(self, kind: type) -> list[np.ndarray]:
+        """The parts' components by term."""
+        return [p.astype(kind) for p in self.parts]
+
+
+@dataclass
+class Work:
+    """Products of a query's and a vector's component: for essential terms, for probed ones, and of all there are."""
+
+    essential: int = 0
+    probed: int = 0
+    dense: int = 0
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int) -> tuple[list[np.ndarray], list[np.ndarray], Work]:
+    """(ids, scores) of the best k vectors for each query, best first, and what it took."""
+    dims = shard.high.shape[1]
+    q = np.pad(queries, ((0, 0), (0, dims - queries.shape[1]))).astype(np.int64)
+    most = float(np.abs(q).max(initial=0)) * shard.largest * dims
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # exact for integers
+    postings, found, scores, work = shard.postings(kind), [], [], Work()
+    for own, terms in zip(query_ids.tolist(), q, strict=True):
+        bound = np.where(terms >= 0, terms * shard.high, terms * shard.low)  # part x term
+        power = np.argsort(-bound, axis=1, kind="stable")
+        rest = np.zeros((len(bound), dims + 1), dtype=np.int64)  # what the terms from here on can add
+        rest[:, :dims] = np.cumsum(np.take_along_axis(bound, power, axis=1)[:, ::-1], axis=1)[:, ::-1]
+        weights, ids, best, floor = terms.astype(kind), np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for p in np.argsort(-rest[:, 0], kind="stable").tolist():
+            work.dense += dims * len(shard.ids[p])
             split = dims
-        value = scores[pair_q, pair_c]
-        for a in range(split, dims, step):
-            terms = order[a : a + step]
-            value = value + np.einsum("ij,ij->i", q[np.ix_(pair_q, terms)], c[np.ix_(pair_c, terms)])
-            keep = value + rest[pair_q, min(dims, a + step)] >= floor[pair_q]
-            pair_q, pair_c, value = pair_q[keep], pair_c[keep], value[keep]
-        if len(pair_q) > 4 * k * len(q):  # many pairs: only those at or above the k-th score of this part
-            table = np.full(alive.shape, -np.inf if kind is np.float64 else np.iinfo(np.int64).min, dtype=kind)
-            table[pair_q, pair_c] = value
-            if table.shape[1] > k:
-                kth = np.partition(table, table.shape[1] - k, axis=1)[:, table.shape[1] - k]
-                keep = value >= np.maximum(kth, floor)[pair_q]
-                pair_q, pair_c, value = pair_q[keep], pair_c[keep], value[keep]
-        best.offer(pair_q, own[pair_c], value.astype(np.int64))
-    return best
+            if floor is not None:
+                if rest[p, 0] < floor:
+                    continue
+                split = int(np.count_nonzero(rest[p, :dims] >= floor))
+            essential = power[p, :split]
+            value = weights[essential] @ postings[p][essential]
+            work.essential += split * len(value)
+            alive = shard.ids[p] != own
+            if floor is not None:
+                alive &= value >= floor - rest[p, split]
+            at = np.flatnonzero(alive)
+            value = value[at]
+            for a in range(split, dims, STEP):
+                if not len(at):
+                    break
+                probed = power[p, a : a + STEP]
+                value = value + weights[probed] @ postings[p][np.ix_(probed, at)]
+                work.probed += len(probed) * len(at)
+                keep = value >= floor - rest[p, min(dims, a + STEP)]
+                at, value = at[keep], value[keep]
+            if not len(at):
+                continue
+            ids, best = np.concatenate((ids, shard.ids[p][at])), np.concatenate((best, value.astype(np.int64)))
+            order = np.lexsort((ids, -best))[:k]
+            ids, best = ids[order], best[order]
+            if len(best) == k:
+                floor = int(best[-1])
+        found.append(ids)
+        scores.append(best)
+    return found, scores, work
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors. queries has the columns of vectors."""
     shards = saved(blocks(quantized(vectors, id_col, vector_col), BLOCK), "vector-blocks")
     asked = saved(blocks(quantized(queries, id_col, vector_col), QUERIES), "query-blocks")
-    n = max(1, shards.count())
-    dealt = shards.select("block", F.col("ids").alias("ids"), "dims", "vectors", F.pmod(F.xxhash64("block"), F.lit(n)).alias("shard"))
-    sent = asked.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"))
+    n, q_dims = max(1, shards.count()), asked.agg(F.max("dims")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("block"), F.lit(n))
+    dealt = shards.select(shard.alias("shard"), F.lit(0).alias("kind"), "ids", "dims", "vectors")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "ids", "dims", "vectors")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Shard]] = {}  # of the shard number at hand
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 ids, m = _matrix(row["ids"], row["vectors"], row["dims"])
-                q_ids, q = _matrix(row["q_ids"], row["q_vectors"], row["q_dims"])
-                best = search(q_ids, q, ids, m, k)
-                n_best = [len(x) for x in best.ids]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n_best)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
-
-    pairs = sent.join(dealt, "shard").select("ids", "dims", "vectors", "q_ids", "q_dims", "q_vectors")
-    found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+                if row["kind"] == 0:
+                    if row["shard"] not in held:
+                        held = {row["shard"]: []}
+                    held[row["shard"]].append(Shard(ids, m, max(row["dims"], q_dims)))
+                    continue
+                for part in held.get(row["shard"], []):
+                    found, scores, _ = search(ids, m, part, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])
+
+    rows = dealt.unionByName(sent).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = rows.mapInArrow(score, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -110,18 +111,36 @@ def _brute(ids, m, query_ids, k):
     return sorted(out)
 
 
-def test_maxscore_search_prunes_and_stays_exact():
+def test_maxscore_search_is_exact():
     rng = np.random.default_rng(0)
-    for dense in (1.0, 0.1):
-        m = rng.integers(-40, 200, (9000, 24)) * (rng.random((9000, 24)) < dense)
-        m[:, 3:] //= 20  # few strong terms
+    for dense, wide in ((1.0, 1), (0.1, 1), (1.0, 1 << 12), (1.0, 1 << 20)):
+        m = rng.integers(-40, 200, (3000, 24)) * (rng.random((3000, 24)) < dense) * wide
         m[100:400] = m[7]
-        ids = rng.permutation(9000)
-        best = maxscore.search(ids[:40], m[:40], ids, m, 5)
-        scores = m[:40] @ m.T
+        ids = rng.permutation(3000)
+        found, best, _ = maxscore.search(ids[:40], m[:40], maxscore.Shard(ids, m, 26), 5)
+        scores = m[:40].astype(object) @ m.T.astype(object)
         for i in range(40):
             want = sorted((-s, d) for s, d in zip(scores[i].tolist(), ids.tolist()) if d != ids[i])[:5]
-            assert [(-s, d) for s, d in zip(best.scores[i].tolist(), best.ids[i].tolist())] == want
+            assert [(-s, d) for s, d in zip(best[i].tolist(), found[i].tolist())] == want
+
+
+def test_maxscore_leaves_out_most_products_of_clustered_vectors():
+    rng = np.random.default_rng(1)
+    m = (rng.normal(0, 200, (40, 64))[rng.integers(0, 40, 8000)] + rng.normal(0, 20, (8000, 64))).astype(np.int64)
+    found, best, work = maxscore.search(np.arange(50), m[:50], maxscore.Shard(np.arange(8000), m, 64), 5)
+    scores = m[:50] @ m.T
+    for i in range(50):
+        assert list(zip(best[i].tolist(), found[i].tolist())) == [(-s, d) for s, d in sorted((-s, d) for d, s in enumerate(scores[i].tolist()) if d != i)[:5]]
+    assert work.dense == 50 * 8000 * 64
+    assert 0 < work.probed < work.essential and work.essential + work.probed < work.dense / 2
+
+
+def test_maxscore_splits_terms_of_plain_vectors():
+    """Vectors without clusters: no part can be left out, but each query has terms that are only probed."""
+    rng = np.random.default_rng(2)
+    m = np.floor(256 * rng.normal(0, 0.12, (6000, 64))).astype(np.int64)
+    _, _, work = maxscore.search(np.arange(40), m[:40], maxscore.Shard(np.arange(6000), m, 64), 5)
+    assert work.essential + work.probed < 0.8 * work.dense and work.probed > 0
 
 
 def test_maxscore_edge_rows(spark):
@@ -135,4 +154,7 @@ def test_maxscore_edge_rows(spark):
 
 
 def test_maxscore_query(spark):
-    assert op8_maxscore(spark, "/root/testdata/sf0.001").count() > 0
+    rows = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    m = np.array([v for _, v in rows])
+    ids = [i for i, _ in rows]
+    assert sorted(tuple(r) for r in op8_maxscore(spark, SF).collect()) == _brute(ids, m, [i for i in ids if i % 50 == 0], 5)
