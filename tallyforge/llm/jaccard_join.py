@@ -2,8 +2,9 @@
 
 Documents are sets of five-word shingles. If two sets are alike to SIMILARITY, they share a shingle among the first
 n - ceil(SIMILARITY * n) + 1 of each under any global order, so candidates have to share such prefix shingles under
-every one of ORDERS orders at once before they are verified. All orders put rare shingles first (by document frequency,
-exactly or by its power of two) and break ties by different hashes.
+every one of ORDERS orders at once before they are verified. The first order goes by document frequency and the second
+by its power of two, rare shingles first, with ties broken by different hashes; the third puts shingles of a single set
+first and takes all others in the order of a hash alone.
 
 1. Each document's shingles go, packed by batch, to the task of their hash bucket, where document frequencies are
    counted over all distinct sets, and come back to the task of the set only if another set has them. A shingle that is
@@ -11,8 +12,9 @@ exactly or by its power of two) and break ties by different hashes.
 2. A set whose prefix holds only shingles of its own has no partner. The few others keep their shared shingles.
 3. Sets that are connected through prefix shingles of the first order form a block; links lie inside blocks.
 4. Blocks are verified in tasks of bounded size. A large block is cut: all its sets meet a first part; what that links is
-   one component, whose inner pairs need no check, and only the rest meets all parts. No task lists pairs: it returns
-   for each set a set it is linked to, if any, so hot groups of near copies stay linear in what they emit.
+   one component, whose inner pairs need no check. Sets outside of it then meet the sets that share one of their prefix
+   shingles, by buckets of those shingles, of which only large ones are cut again. No task lists pairs: it returns for
+   each set a set it is linked to, if any, so hot groups of near copies stay linear in what they emit.
 5. Connected components of those links give the classes.
 
 A null text or one without words is an empty set and linked with nothing; a text with fewer than five words is one
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import id_text, saved, slices, utf8_bytes
-from tallyforge.llm.components import components
 from tallyforge.llm.shingles import U64, mixed, shingle_sets
+from tallyforge.operators.links import components
+from tallyforge.operators.lookups import lookup
 
 PERCENT = 80
-ORDERS = 2
+ORDERS = 3
 HOT = 16  # sets of a batch that hold a shingle
 COMMON = np.uint32(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
@@ -217,7 +220,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ordered(shingles: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     """The permutation that puts a set's shared shingles in a global order."""
-    rank = counts if order == 0 else np.frexp(counts.astype(np.float64))[1]
+    rank = (counts, np.frexp(counts.astype(np.float64))[1], np.zeros(len(counts), np.uint8))[order]
     return np.lexsort((mixed(shingles ^ U64(0x9E37 + order)), rank))
 
 
@@ -237,6 +240,7 @@ class Group:
         self.start = np.concatenate(([0], np.cumsum(self.size)))
         values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.n_values = len(values)
+        self.left = [0] * (ORDERS + 1)
         self.lists = []  # of each order: prefix shingle -> sets, set -> prefix shingles
         for order in range(ORDERS):
             own = [np.searchsorted(values, prefixes(int(k), s, w, order)) for k, s, w in zip(n, sets, weights, strict=True)]
@@ -247,13 +251,18 @@ class Group:
             self.lists.append((own, owner[sort], np.searchsorted(flat[sort], np.arange(self.n_values + 1))))
 
     def candidates(self, i: int, among: np.ndarray) -> np.ndarray:
-        """Sets of among (a mask) that share a prefix shingle with set i under every order and are of a fitting size."""
+        """Sets of among (a mask) that share a prefix shingle with set i under every order and are of a fitting size.
+
+        self.left counts what each step leaves: sizes first, then order by order.
+        """
         found = among & (100 * np.minimum(self.n, self.n[i]) >= PERCENT * np.maximum(self.n, self.n[i]))
-        for own, owner, at in self.lists:
+        self.left[0] += np.count_nonzero(found)
+        for order, (own, owner, at) in enumerate(self.lists):
             hit = np.zeros(len(self.n), dtype=bool)
             for p in own[i].tolist():
                 hit[owner[at[p] : at[p + 1]]] = True
             found &= hit
+            self.left[order + 1] += np.count_nonzero(found)
         return np.flatnonzero(found)
 
     def linked(self, i: int, others: np.ndarray) -> np.ndarray:
@@ -337,13 +346,13 @@ def set_roots(sets: DataFrame, part: int = PART) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(node, np.int64), [len(o) for o in own])), pa.array(np.concatenate(own).view(np.int64))], names=["node", "shingle"])
 
     posted = saved(sets.select("node", "n", "shingles", "counts").mapInArrow(postings, "node long, shingle long"), "postings")
-    hubs = saved(posted.groupBy("shingle").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", "hub"), "hubs")
-    blocks = components(posted.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "block")
+    hubs = saved(posted.groupBy("shingle").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1"), "hubs")
+    blocks = components(lookup(posted, hubs, "shingle", "k").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "block")
     own = sets.select("node", "n", (F.length("shingles") / 8).cast("long").alias("c"))
     sized = saved(own.join(blocks, "node").select("node", "block", "n", "c"), "sized")
-    stats = saved(sized.groupBy("block").agg(F.min("n").alias("least"), F.ceil(F.count(F.lit(1)) / part).alias("parts")), "block-sizes")
+    stats = saved(sized.groupBy("block").agg(F.min("n").alias("least"), F.ceil(F.count(F.lit(1)) / part).alias("parts"), F.count(F.lit(1)).alias("k")), "block-sizes")
     # the smallest set of a block bounds what the others need to share with anything there
-    fit = sized.join(stats, "block").where(F.col("c") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))).select("node", "block", "parts")
+    fit = lookup(sized, stats, "block", "k").where(F.col("c") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))).select("node", "block", "parts")
     members = saved(sets.join(fit, "node").select("node", "n", "shingles", "counts", "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts"), "members")
     # each set meets part 0 of its block; a block of one part is then done
     first = members.withColumn("root", F.col("node")).withColumn("to", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
@@ -354,14 +363,7 @@ def set_roots(sets: DataFrame, part: int = PART) -> DataFrame:
         return roots
     large = members.where("parts > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     large = saved(large, "large-blocks")
-    # inside the largest component of a block, nothing is left to find; whatever is outside meets all
-    sizes = large.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("k"))
-    rest = saved(sizes.select("block", F.col("m.root").alias("giant"), F.ceil((F.col("k") - F.col("m.count")) / part).alias("rest_parts")).where("rest_parts > 0"), "rest")
-    wide = large.join(rest, "block")
-    left = wide.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1))).withColumn("x", F.col("part")).withColumn("side", F.lit(1))
-    right = wide.where("root != giant").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts"))).withColumn("side", F.lit(2))
-    met = left.unionByName(right.select(*left.columns)).withColumn("task", F.struct("block", "x", "y"))
-    more = saved(_tasks(_packed_task(met)), "second-links")
+    more = saved(_tasks(_packed_task(_second_meetings(large, members, posted, part))), "second-links")
     if more.isEmpty():
         return roots
     known = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
@@ -372,6 +374,28 @@ def set_roots(sets: DataFrame, part: int = PART) -> DataFrame:
     return every.join(later, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
+def _second_meetings(large: DataFrame, members: DataFrame, posted: DataFrame, part: int) -> DataFrame:
+    """Rows for _verify of the large blocks (node, block, parts, root): sets outside the largest component of their block with all that share a prefix shingle of theirs.
+
+    A set is sent once for each bucket of its own prefix shingles, so rows grow with the sets and not with pairs of
+    parts of a block; only a bucket that is itself large is cut into parts, each of which meets each part of its rest.
+    """
+    sizes = large.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("k"))
+    giants = saved(sizes.where("m.count < k").select("block", F.col("m.root").alias("giant"), "k"), "giants")
+    sets = saved(lookup(large.select("node", "block", "parts", "root"), giants, "block", "k").withColumn("rest", F.col("root") != F.col("giant")), "second-sets")
+    asked = posted.join(sets.where("rest").select("node"), "node", "left_semi").groupBy("shingle").count().select("shingle")
+    held = posted.join(asked, "shingle", "left_semi").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.col("parts")))
+    held = saved(held.select("node", "root", "rest", F.struct("block", "bucket").alias("bucket")).distinct(), "second-buckets")
+    stats = saved(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.count_if("rest").alias("r")).where("r > 0"), "second-sizes")
+    stats = stats.select("bucket", "k", F.ceil(F.col("k") / part).alias("xs"), F.ceil(F.col("r") / part).alias("ys"))
+    placed = lookup(held, stats, "bucket", "k").withColumn("x", F.pmod(F.xxhash64("node"), F.col("xs"))).withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("ys")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = placed.select("node", "root", "bucket", "x", every("ys").alias("y"), F.lit(1).alias("side"))
+    right = placed.where("rest").select("node", "root", "bucket", every("xs").alias("x"), "y", F.lit(2).alias("side"))
+    met = left.unionByName(right).withColumn("task", F.struct(F.concat_ws("-", F.col("bucket.block").cast("string"), F.col("bucket.bucket").cast("string")).alias("block"), "x", "y"))
+    return met.join(members.select("node", "n", "shingles", "counts"), "node")
+
+
 def _packed_task(rows: DataFrame) -> DataFrame:
     """The task's name as text, which Arrow compares fast."""
     return rows.withColumn("task", F.concat_ws(":", *(F.col(f"task.{c}").cast("string") for c in ("block", "x", "y"))))
@@ -385,10 +409,12 @@ def jaccard_join(docs: DataFrame, part: int = PART) -> DataFrame:
     sets = saved(counted.mapInArrow(_kept, SETS), "shingle-sets")
     rows = sets.where("shingles is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
     roots = set_roots(sets.where("shingles is not null"), part)
-    placed = saved(rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "placed")
+    # equal sets share a node and a class its root, so both are met as keys that may hold a large share of the rows
+    weights = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("w")).join(roots, "node", "left").select("node", "w", F.coalesce("root", "node").alias("root")), "nodes")
+    placed = saved(lookup(rows, weights, "node", "w").select("doc_id", "n_shingles", "root"), "placed")
     filled = placed.where("n_shingles > 0")
-    least = saved(filled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
-    linked = filled.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    least = saved(filled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("w")), "classes")
+    linked = lookup(filled, least, "root", "w").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

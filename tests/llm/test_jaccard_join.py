@@ -1,11 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import jaccard_join
-from tallyforge.llm.components import components
 
 
 def shingles(text):
@@ -70,7 +70,35 @@ def test_edge_rows(spark):
     assert jaccard_join.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_chains(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+def test_third_order_is_independent_of_frequency():
+    """Each order leaves all links in and takes more of the others out."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(400, 60, p=(w := 1 / np.arange(1, 401)) / w.sum())).astype(np.uint64) for _ in range(300)]
+    sets += [np.unique(np.concatenate((x[1:], rng.integers(400, 500, 1).astype(np.uint64)))) for x in sets[:40]]
+    value, count = np.unique(np.concatenate(sets), return_counts=True)
+    shared = [np.array([v for v in x if count[np.searchsorted(value, v)] > 1], np.uint64) for x in sets]
+    counts = [count[np.searchsorted(value, x)].astype(np.uint32) for x in shared]
+    group = jaccard_join.Group([len(x) for x in sets], [x.tobytes() for x in shared], [c.tobytes() for c in counts])
+    whole = np.ones(len(sets), dtype=bool)
+    for i, x in enumerate(sets):
+        found = set(group.candidates(i, whole).tolist())
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            assert 100 * both < 80 * (len(x) + len(y) - both) or j in found
+    assert group.left[0] > group.left[1] >= group.left[2] > group.left[3]
+
+
+def test_rows_of_a_large_block_grow_with_its_sets(spark, monkeypatch):
+    """Two sizes of a block of near copies beside a block of many small classes: what is sent is not squared."""
+    sent = []
+    tasks = jaccard_join._tasks
+    monkeypatch.setattr(jaccard_join, "_tasks", lambda rows: sent.append(rows.count()) or tasks(rows))
+    base = [f"w{i}" for i in range(40)]
+    for n in (1000, 4000):
+        near = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]])) for i in range(n)]
+        small = [(n + i, " ".join([*(f"y{i // 2}-{j}" for j in range(12)), *base[:9]])) for i in range(n)]
+        df = spark.createDataFrame(near + small, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df, part=50).collect()}
+        assert all(got[n + i] == n + i - i % 2 for i in range(n))
+    small, large = sum(sent[: len(sent) // 2]), sum(sent[len(sent) // 2 :])
+    assert large < 8 * small
