@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,68 @@ from tallyforge.llm.queries import op5_secrets, op8_maxscore
 SF = "/root/testdata/sf0.01"
 
 
+WORD, KEYS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+
+def _assigned(text, at):
+    """End of group 2 of an assignment that starts at a place, and its length; by hand, one character after another."""
+    low = "".join(c.lower() if c.isascii() else c for c in text[at : at + 8])
+    for key in KEYS:
+        if not low.startswith(key):
+            continue
+        for quote in ((1, 0) if text[at + len(key) : at + len(key) + 1] in ("'", '"') else (0,)):
+            i = at + len(key) + quote
+            while text[i : i + 1] == " ":
+                i += 1
+            if text[i : i + 1] not in (":", "="):
+                continue
+            i += 1
+            while text[i : i + 1] == " ":
+                i += 1
+            i += text[i : i + 1] in ("'", '"')
+            end = i
+            while text[end : end + 1] in WORD and end < len(text):
+                end += 1
+            if end > i:
+                return end, end - i
+    return None
+
+
+def _by_hand(text):
+    """All base spans without a regular expression."""
+    found, i = [], 0
+    while i < len(text):
+        hit = _assigned(text, i) if text[i] in "pPsStTaA" else None
+        if hit and hit[1] >= 6:
+            found.append((i, 0, "assign", hit[0]))
+        i = hit[0] if hit else i + 1
+    for rank, kind, lead, body, least in ((1, "access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "hex", "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            if not text.startswith(lead, i) or text[i + len(lead) : i + len(lead) + 1] not in tuple(body):
+                i += 1
+                continue
+            end = i + len(lead)
+            while end < len(text) and text[end] in body:
+                end += 1
+            if end - i >= least:
+                found.append((i, rank, kind, end))
+            i = end
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
 def _summary(text):
-    spans = secrets.spans_of(text or "")
-    base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans if k in secrets.BASE_KINDS)
-    return (*(sum(k == x for k, _, _ in spans) for x in secrets.BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+    base = _by_hand(text or "")
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+    return (*(sum(k == x for k, _, _ in base) for x in secrets.BASE_KINDS), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def test_rules_match_a_scan_by_hand():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", '"', "'", " ", ":", "=", "abc", "abcdef", "0123456789ab", "AKIA", "AKIAAKIA", "ABCDEFGH12345678", "é", "ſecret", "\n", "+/", "K"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert [x for x in secrets.spans_of(text) if x[0] in secrets.BASE_KINDS] == _by_hand(text), text
 
 
 def test_secret_rules():
@@ -29,7 +88,9 @@ def test_secret_rules():
 
 def test_secrets_over_documents(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    got = {r.doc_id: tuple(r)[1:] for r in op5_secrets(spark, SF).collect()}
+    found = op5_secrets(spark, SF).collect()
+    got = {r.doc_id: tuple(r)[1:5] for r in found}
+    assert all(r.spans.count(f"{k}:") == r[f"n_{k}"] for r in found for k in secrets.BASE_KINDS)
     assert got == {r.doc_id: _summary(r.text) for r in rows}
     assert sum(r[0] + r[1] + r[2] for r in got.values()) > 0
 
@@ -64,6 +125,22 @@ def test_ledger_scans_only_unseen_blobs(spark, monkeypatch):
     assert ledger.findings_of(empty).count() == 0
 
 
+def test_new_rules_scan_old_blobs_again(spark, monkeypatch):
+    ledger = secrets.BlobLedger(spark, scratch_path(spark, "ledger"))
+    old = ledger.update(spark.createDataFrame([(1, "made"), (2, "0123456789abcdef0123456789abcdef is here"), (3, "a")], "path long, text string").coalesce(1))
+    ledger.enter(old)
+    monkeypatch.setattr(secrets, "RULES_VERSION", secrets.RULES_VERSION + 1)
+    scanned = []
+    scan = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda b: scanned.append(sorted(r.text for r in b.select("text").collect())) or scan(b))
+    new = ledger.update(spark.createDataFrame([(1, "made"), (1, "token=abcdefgh")], "path long, text string"))
+    ledger.enter(new)
+    assert scanned == [["made", "token=abcdefgh"]]
+    assert {(r.path, len(r.spans)) for r in ledger.findings_of(old.unionByName(new)).collect()} == {(1, 0), (2, 0), (3, 0), (1, 1)}
+    ledger.update(spark.createDataFrame([(2, "0123456789abcdef0123456789abcdef is here")], "path long, text string"))
+    assert [len(r.spans) for r in ledger.findings_of(old.where("path = 2")).collect()] == [1]
+
+
 def test_redaction_joins_overlapping_spans(spark):
     text = "é a token=" + "ab12" * 8 + " z"
     df = spark.createDataFrame([(text, secrets.spans_of(text)), ("plain", [])], f"text string, spans {secrets.SPANS}")
