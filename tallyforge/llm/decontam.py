@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check.
 
 For every word length that an item has, each window of so many words of a document is a possible leak (a shorter
-document is one window). A window's fingerprint is the SimHash of its five-word shingles with their counts as weights.
+document is one window; windows and items of fewer than five words are one shingle). A window's fingerprint is the SimHash of its five-word shingles with their counts as weights.
 The index cuts fingerprints into BLOCKS blocks: two fingerprints within RADIUS bits agree in at least one block up to
 RADIUS // BLOCKS bits, so probing each block's table of near values finds every item within the radius. Candidates are
 verified by the exact weighted similarity of the shingles: the sum of the smaller counts over the sum of the larger.
@@ -9,8 +9,9 @@ verified by the exact weighted similarity of the shingles: the sum of the smalle
 Only windows that hold enough shingles of any item at all to reach the similarity are fingerprinted, which loses none.
 A true pair at exactly 0.8 is some 10 bits apart, three standard deviations inside RADIUS.
 
-Items come in parts of at most ITEMS_AT_ONCE, so what is broadcast is bounded however many items there are; a document
-never leaves its task. Null and empty texts, and items without words, match nothing; texts of 1 to 4 words are one
+Items come in parts of some ITEMS_AT_ONCE / 2 different ones and ITEM_BYTES / 2 of text, so what is broadcast is bounded
+however many items there are, but for a single huge one; each part is a pass over the documents, which never leave their
+task. Null and empty texts, and items without words, match nothing; texts of 1 to 4 words are one
 shingle; repeated items each report; repeated rows report each; of windows with the same similarity the first counts.
 """
 
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import id_text, slices, small_batches, utf8_bytes
-from tallyforge.llm.shingles import U64, mixed, window_hashes, word_hashes
+from tallyforge.llm.shingles import U64, mixed, run_hashes, window_hashes, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 19, 4, 16
-ITEMS_AT_ONCE = 4096
+ITEMS_AT_ONCE, ITEM_BYTES = 4096, 16 << 20
 LEAKS = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
@@ -71,6 +72,7 @@ class Index:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.known >> U64(44)).astype(np.int64)] = True
         self.lengths = np.unique(self.n_words)
+        self.short = np.array([next(iter(c)) if n < WIDTH else 0 for c, n in zip(self.counts, self.n_words.tolist(), strict=True)], dtype=U64)
         near = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in itertools.combinations(range(BLOCK_BITS), n)]
         near = np.array(near, dtype=np.int64)
         self.tables = np.zeros((BLOCKS, 1 << BLOCK_BITS, -(-max(1, len(kept)) // 64)), dtype=U64)
@@ -108,12 +110,13 @@ class Index:
         """(document, item, similarity, first word, words) of the best window of each pair that reaches SIMILARITY."""
         n_docs = len(offsets) - 1
         words, doc, _, _ = word_hashes(raw, offsets)
+        best = self._short_leaks(words, doc, n_docs)
         hashes, owner, place = window_hashes(words, doc, n_docs, WIDTH)
         order = np.argsort(place, kind="stable")
         hashes, owner, place = hashes[order], owner[order], place[order]
         hit = self.contains(hashes)
         if not hit.any():
-            return []
+            return self._listed(best)
         # from here on only documents with a known shingle
         keep = np.zeros(n_docs, dtype=bool)
         keep[owner[hit]] = True
@@ -124,8 +127,7 @@ class Index:
         n_words = np.bincount(doc, minlength=n_docs)
         first_word = np.concatenate(([0], np.cumsum(n_words)))
         hits = np.concatenate(([0], np.cumsum(hit)))
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for length in self.lengths.tolist():
+        for length in self.lengths[self.lengths >= WIDTH].tolist():
             for size, first in self._windows(length, counts, n_words, start, owner):
                 first = first[hits[first + size] - hits[first] >= SIMILARITY * size - 1e-9]
                 if not len(first):
@@ -140,26 +142,48 @@ class Index:
                         if s >= SIMILARITY and s > best.get(key, (0.0, 0, 0))[0]:
                             d = key[0]
                             best[key] = (s, int(place[f] - first_word[d]), min(length, int(n_words[d])))
+        return self._listed(best)
+
+    def _listed(self, best: dict[tuple[int, int], tuple[float, int, int]]) -> list[tuple[int, int, float, int, int]]:
         return [(d, int(self.ids[i]), s, p, n) for (d, i), (s, p, n) in sorted(best.items())]
 
+    def _short_leaks(self, words: np.ndarray, doc: np.ndarray, n_docs: int) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """The first window of each document and item of fewer than WIDTH words that are alike: such windows are one shingle, so they are equal."""
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        first_word = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n_docs))))
+        for length in self.lengths[self.lengths < WIDTH].tolist():
+            hashes, place = run_hashes(words, doc, length)
+            hit = np.flatnonzero(np.isin(hashes, self.short[self.n_words == length]))
+            for part in np.array_split(hit, -(-len(hit) // 4096)) if len(hit) else []:
+                window, item = self.within_radius(fingerprints(hashes, part, 1))
+                same = self.n_words[item] == length
+                for w, i in zip(window[same].tolist(), item[same].tolist(), strict=True):
+                    f = int(part[w])
+                    d = int(doc[place[f]])
+                    if (d, i) not in best and self.similarity(i, hashes[f : f + 1]) >= SIMILARITY:
+                        best[d, i] = (1.0, int(place[f] - first_word[d]), length)
+        return best
+
     @staticmethod
     def _windows(length: int, counts: np.ndarray, n_words: np.ndarray, start: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shingles a window, its first shingle) for the windows of so many words, and for shorter documents as one window."""
-        size = max(1, length - WIDTH + 1)
+        size = length - WIDTH + 1
         at = np.arange(len(owner))
-        if length >= WIDTH:
-            yield size, at[(at + size <= start[owner + 1]) & (n_words[owner] >= length)]
-        short = np.flatnonzero((counts > 0) & (n_words <= length if length < WIDTH else n_words < length))
+        yield size, at[(at + size <= start[owner + 1]) & (n_words[owner] >= length)]
+        short = np.flatnonzero((counts > 0) & (n_words < length))
         for n in np.unique(counts[short]).tolist():
             yield n, start[short[counts[short] == n]]
 
 
 def _parts(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in parts of bounded size; each part is read by itself."""
+    """The items in parts of bounded size; each part is read by itself, and so is each copy of a repeated item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    n = -(-rows.count() // (ITEMS_AT_ONCE // 2))
+    copies = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    rows = copies.select("item_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(-(-size["n"] // (ITEMS_AT_ONCE // 2)), -(-size["bytes"] // (ITEM_BYTES // 2)))
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text", "copy"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         yield [r["item_id"] for r in part], [r["text"] for r in part]
 
 

@@ -7,9 +7,9 @@ popcount of each bit over the text's n-grams, corrected for the false positives
 
 An n-gram counts as contained in a language when it occurs at least MIN_COUNT times in the language's sample and its
 share there is at least a quarter of its highest share in any language. The filter is fitted on a bounded, hashed sample
-of labelled rows (PER_LANGUAGE documents of each language, expected), keeps the MAX_GRAMS commonest n-grams of each and
-takes 8 MB for every 64 languages; predictions read every whole
-text, and neither labels nor sources nor ids.
+of labelled rows (PER_LANGUAGE documents of each language, expected) and holds all languages and n-grams of it: it takes
+8 MB for every 64 languages, more where one has over some 240,000 n-grams, so that no language fills half the slots.
+Predictions read every whole text, and neither labels nor sources nor ids.
 
 N-grams are runs of N bytes of the text with A-Z lowered and runs of digits, marks and blanks as spaces. A null text and
 a text without a letter give `und` and score 0; a text with letters but without a known n-gram gives the commonest
@@ -30,11 +30,10 @@ from tallyforge.llm.common import slices, small_batches, utf8_bytes
 from tallyforge.llm.shingles import U64, mixed
 
 N = 4
-SLOT_BITS = 20
+SLOT_BITS = 20  # at least
 HASHES = 3
 PER_LANGUAGE = 4000
 MIN_COUNT = 3
-MAX_GRAMS = 200_000  # of a language
 WORD_BITS = 64
 UNKNOWN = "und"
 
@@ -68,9 +67,11 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, whole
 
 
-def _slots(gram: np.ndarray) -> list[np.ndarray]:
+def _slots(gram: np.ndarray, n: int) -> list[np.ndarray]:
+    """The places of n-grams in a filter of n slots, a power of two."""
     h = mixed(gram.astype(U64) + U64(0x1234567))
-    return [((h >> U64(20 * i)) & U64((1 << SLOT_BITS) - 1)).astype(np.int32) for i in range(HASHES)]
+    first, step = (h >> U64(32)).astype(np.uint32), h.astype(np.uint32) | np.uint32(1)
+    return [((first + np.uint32(i) * step) & np.uint32(n - 1)).astype(np.int32) for i in range(HASHES)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # the sample is bounded, and so are its n-grams
     table = counted.where(F.col("n") >= MIN_COUNT).toPandas()
     for i in range(len(languages)):
-        own = table[table["lang"] == i].nlargest(MAX_GRAMS, "n")
+        own = table[table["lang"] == i]
         totals[i] = max(1, own["n"].sum())
         found.append((own["gram"].to_numpy(np.uint32), own["n"].to_numpy(np.float64) / totals[i]))
     everything = np.unique(np.concatenate([g for g, _ in found])) if found else np.zeros(0, np.uint32)
@@ -112,11 +113,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for g, share in found:
         at = np.searchsorted(everything, g)
         highest[at] = np.maximum(highest[at], share)
-    slots = np.zeros((-(-len(languages) // WORD_BITS), 1 << SLOT_BITS), dtype=U64)
+    most = max((len(g) for g, _ in found), default=0)
+    n_slots = 1 << max(SLOT_BITS, int(np.ceil(np.log2(max(1, HASHES * most / np.log(2))))))
+    slots = np.zeros((-(-len(languages) // WORD_BITS), n_slots), dtype=U64)
     fill = np.zeros(len(languages))
     for i, (g, share) in enumerate(found):
         word, bit = slots[i // WORD_BITS], U64(1 << (i % WORD_BITS))
-        for at in _slots(g[share >= highest[np.searchsorted(everything, g)] / 4]):
+        for at in _slots(g[share >= highest[np.searchsorted(everything, g)] / 4], n_slots):
             word[at] |= bit  # the same bit for all, so repeated slots do no harm
         fill[i] = np.count_nonzero(word & bit) / len(word)
     return Model(languages, slots, fill**HASHES, languages.index(max(counts, key=lambda x: (counts[x], x))))
@@ -129,7 +132,7 @@ def scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(raw) or not model.languages:
         return out
     gram, whole = grams(raw, offsets)
-    places = _slots(gram)
+    places = _slots(gram, model.slots.shape[1])
     sums = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[offsets])
     total = sums(whole)
     for k, word in enumerate(model.slots):
@@ -158,7 +161,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """lang_pred and score of each row of docs (text), after the columns to keep (doc_id, if none are named)."""
     keep = ["doc_id"] if keep is None else keep
     rows = small_batches(docs).select(*keep) if "text" in keep else docs.select(*keep, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for every 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

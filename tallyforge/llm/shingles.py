@@ -110,6 +110,18 @@ def window_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int =
     return hashes, owner, place
 
 
+def run_hashes(words: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of each run of so many words inside a document, fewer than a shingle has: that of a document of just these words."""
+    m = len(words) - length + 1
+    if m <= 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    out = np.full(m, length, dtype=U64)
+    for j in range(length):
+        out = out * BASE + words[j : j + m]
+    whole = np.flatnonzero(doc[:m] == doc[length - 1 :])
+    return mixed(out[whole] ^ U64(0x5851F42D4C957F2D)), whole
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the sorted distinct shingles of each document, one after another."""
     n_docs = len(offsets) - 1

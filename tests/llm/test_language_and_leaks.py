@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 import zlib
 
@@ -64,13 +65,12 @@ def brute_leaks(docs, items):
     out = {}
     prepared = [(i, _windows(t), _shingles(_windows(t))) for i, t in items if t and _windows(t)]
     known = {s for _, _, c in prepared for s in c}
+    any_short = any(len(w) < 5 for _, w, _ in prepared)
     for d, text in docs:
         words = _windows(text or "")
-        if not words or not known & set(_shingles(words)):
+        if not words or not (any_short or known & set(_shingles(words))):
             continue
         for i, item, counts in prepared:
-            if len(item) < 5 <= len(words):
-                continue
             n, best = len(item), None
             for a in range(max(1, len(words) - n + 1)):
                 own = _shingles(words[a : a + n])
@@ -98,8 +98,8 @@ def test_leak_edge_rows(spark):
     rows = [(1, f"before {item} after"), (2, None), (3, ""), (4, "three  word\nITEM"), (5, "x three word item y z q"), (6, " ".join(item.split()[:18])), (7, "z " * 50_000 + item), (8, item.replace("w9", "other")), (1, f"before {item} after")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     got = sorted((r.doc_id, r.item_id, r.start_word) for r in decontam.find_leaks(df, items).collect())
-    assert got == [(1, 1, 1), (1, 1, 1), (1, 5, 1), (1, 5, 1), (4, 2, 0), (6, 1, 0), (6, 5, 0), (7, 1, 50_000), (7, 5, 50_000)]
-    assert sorted(r.doc_id for r in decontam.without_leaks(df, items).collect()) == [2, 3, 5, 8]
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 5, 1), (1, 5, 1), (4, 2, 0), (5, 2, 1), (6, 1, 0), (6, 5, 0), (7, 1, 50_000), (7, 5, 50_000)]
+    assert sorted(r.doc_id for r in decontam.without_leaks(df, items).collect()) == [2, 3, 8]
     assert decontam.find_leaks(df, items.limit(0)).count() == 0 and decontam.find_leaks(df.limit(0), items).count() == 0
 
 
@@ -113,3 +113,30 @@ def test_index_finds_everything_within_the_radius():
     got = set(zip(*(x.tolist() for x in index.within_radius(probes)), strict=True))
     assert got == {(w, i) for w in range(2000) for i in range(70) if int(probes[w] ^ index.prints[i]).bit_count() <= decontam.RADIUS}
     assert index.leaks(*utf8_bytes(pa.array(["", "a"]))) == []
+
+
+def test_short_items_in_documents_of_any_length_match_brute_force():
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(1 + i % 7))) for i in range(40)]
+    docs = [(d, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30)))) for d in range(300)]
+    index = decontam.Index([i for i, _ in items], [t for _, t in items])
+    got = {(d, i): (s, a) for d, i, s, a, _ in index.leaks(*utf8_bytes(pa.array([t for _, t in docs])))}
+    want = brute_leaks(docs, items)
+    assert {k[1] for k in want if k[1] % 7 < 4} and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+
+
+def test_five_thousand_items_in_parts(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(8))
+    items = spark.createDataFrame([(i, text(i)) for i in range(5000)] + [(17, text(17))] * 3, "item_id long, text string")
+    assert len(list(decontam._parts(items))) == 3
+    docs = spark.createDataFrame([(i, f"a b {text(i * 50)} c") for i in range(100)] + [(1000, text(17))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word) for r in decontam.find_leaks(docs, items).collect())
+    assert got == sorted([(i, i * 50, 2) for i in range(100)] + [(1000, 17, 0)] * 4)
+    assert decontam.without_leaks(docs, items).count() == 0
+
+
+def test_many_ngrams_widen_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SLOT_BITS", 4)
+    docs = [(k * 100 + i, " ".join(f"{a}{b}{c}" for a in "abcde" for b in "xyz"[: 2 + i] for c in ("uvw" if i else "rst")), f"l{i}") for i in range(2) for k in range(8)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.slots.shape[1] > 16 and (model.false_rate < 0.2).all()
