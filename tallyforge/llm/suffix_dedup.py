@@ -12,8 +12,10 @@ their first (the strings of the others repeat), segments alone with their anchor
 goes on to the next length, at most two ends for each repeated passage.
 
 Ranks that are frequent within a batch go on directly, so no rank gathers more than some positions of each batch.
-Positions meet by 64-bit hashes. Texts and what is known of them are joined by document; equal strings in one batch
-are settled there.
+A task also remembers leads that it has sent and settles later strings that equal one, so that a string of very many
+documents is sent about once a task. Positions meet by 64-bit hashes, which only decide what goes on; strings count as
+equal, and bytes are removed, by 128 bits of two independent hashes. Texts and what is known of them are joined by
+document; equal strings in one batch are settled there.
 
 A null text is empty; texts shorter than LENGTH keep all bytes; rows that share id and text are one document, each row
 with its result; rows that share only the id are ordered by a hash of the text; a null id comes after all others.
@@ -43,6 +45,10 @@ PLACE_BITS = 23
 SEGMENTS, FREQUENT, REPEATED, CONTESTED = range(4)
 
 _BYTES = mixed(np.arange(1, 257, dtype=U64) * BASE)
+#: A second hash, of another base and other values of the bytes.
+SECOND_BASE = U64(0xD6E8FEB86659FD93)
+SECOND_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_SECOND = mixed(np.arange(1001, 1257, dtype=U64) * SECOND_BASE)
 
 
 class Ranks:
@@ -53,10 +59,18 @@ class Ranks:
         self.total[0] = 0
         np.cumsum(_BYTES[raw] * powers(BASE, len(raw)), out=self.total[1:])
         self.shift = powers(BASE_INVERSE, len(raw) + 1)
+        self.raw = raw
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed((self.total[b] - self.total[a]) * self.shift[a] + (b - a).astype(U64))
 
+    def seconds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The second hash of the bytes a to b."""
+        total = np.empty(len(self.raw) + 1, dtype=U64)
+        total[0] = 0
+        np.cumsum(_SECOND[self.raw] * powers(SECOND_BASE, len(self.raw)), out=total[1:])
+        return mixed((total[b] - total[a]) * powers(SECOND_INVERSE, len(self.raw) + 1)[a] + (b - a).astype(U64))
+
     def doubled(self, length: int) -> np.ndarray:
         """The rank of each position by the next length bytes: pairs of ranks of half the length, down to the first round's."""
         if length == ROUNDS[0]:
@@ -97,18 +111,18 @@ def segments(ranks: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     return first, np.flatnonzero(last), anchor[first]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document id, text hash, place in the document) of batches; huge texts come in overlapping pieces."""
-    for batch in slices(batches, "text", PIECE):
+    for batch in slices(batches, "text", piece):
         raw, offsets = utf8_bytes(batch.column("text"))
         doc, tie, at = (batch.column(c).to_numpy() for c in ("doc_id", "tie", "at"))
-        if len(raw) <= PIECE + LENGTH:
+        if len(raw) <= piece + LENGTH:
             yield raw, offsets, doc, tie, at
             continue
         for i in range(batch.num_rows):
             text = raw[offsets[i] : offsets[i + 1]]
-            for a in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-                part = text[a : a + PIECE + LENGTH - 1]
+            for a in range(0, max(1, len(text) - LENGTH + 1), piece):
+                part = text[a : a + piece + LENGTH - 1]
                 yield part, np.array([0, len(part)]), doc[i : i + 1], tie[i : i + 1], at[i : i + 1] + a
 
 
@@ -120,20 +134,41 @@ def _same(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settled(name: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Seen:
+    """Leads that a task has sent, the last of each slot of a small table."""
+
+    def __init__(self, bits: int = 15):
+        self.bits = bits
+        self.name, self.second = np.zeros(1 << bits, U64), np.zeros(1 << bits, U64)
+        self.at = np.full((3, 1 << bits), np.iinfo(np.int64).max)  # document, tie, start
+
+    def later(self, name: np.ndarray, second: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which strings equal one here that starts earlier; the others are entered."""
+        slot = (name >> U64(64 - self.bits)).astype(np.int64)
+        d, t, s = self.at[:, slot]
+        out = (self.name[slot] == name) & (self.second[slot] == second) & ((doc > d) | (doc == d) & ((tie > t) | (tie == t) & (start > s)))
+        slot, last = np.unique(slot[~out][::-1], return_index=True)
+        new = np.flatnonzero(~out)[::-1][last]
+        self.name[slot], self.second[slot] = name[new], second[new]
+        self.at[:, slot] = doc[new], tie[new], start[new]
+        return out
+
+
+def _settled(name: np.ndarray, second: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, leads, repeats): rows sorted by name and position; the first of each name; those that start later than it."""
-    order = np.lexsort((start, tie, doc, name))
-    lead = ~_same(name[order])
+    order = np.lexsort((start, tie, doc, second, name))
+    lead = ~_same(name[order], second[order])
     head = order[lead][np.cumsum(lead) - 1]
     own = (doc[order] == doc[head]) & (tie[order] == tie[head]) & (start[order] == start[head])
     return order, order[lead], order[~own]
 
 
-def _ranked(length: int, buckets: int):
+def _ranked(length: int, buckets: int, most: int, piece: int):
     """A round beside the bytes: segments by the bucket of their anchor's rank, and what is settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw, offsets, doc, tie, at in _pieces(batches):
+        seen = Seen()
+        for raw, offsets, doc, tie, at in _pieces(batches, piece):
             if len(raw) < LENGTH:
                 continue
             ranks = Ranks(raw)
@@ -145,18 +180,21 @@ def _ranked(length: int, buckets: int):
             owner = np.searchsorted(offsets, first, side="right") - 1
             width = (last - first).astype(np.uint8)
             doc_of, tie_of, start = doc[owner], tie[owner], first - offsets[owner] + at[owner]
-            _, leads, repeats = _settled(whole, doc_of, tie_of, start)
+            second = ranks.seconds(first, last + LENGTH)
+            _, leads, repeats = _settled(whole, second, doc_of, tie_of, start)
+            known = seen.later(whole[leads], second[leads], doc_of[leads], tie_of[leads], start[leads])
+            leads, repeats = leads[~known], np.concatenate((repeats, leads[known]))
             rows = _returned(REPEATED, buckets, doc_of[repeats], tie_of[repeats], start[repeats], width[repeats])
-            rank, whole, owner, start, width = rank[leads], whole[leads], owner[leads], start[leads], width[leads]
+            rank, whole, second, owner, start, width = rank[leads], whole[leads], second[leads], owner[leads], start[leads], width[leads]
             if length < LENGTH:
                 value, back, count = np.unique(rank, return_inverse=True, return_counts=True)
-                hot = count >= HOT
+                hot = count >= most
                 for b, (v,) in _split((value[hot] % U64(buckets)).astype(np.int64), buckets, value[hot]):
                     rows.append((FREQUENT, b, _packed(v)))
                 hot = hot[back]
                 rows += _returned(CONTESTED, buckets, doc[owner[hot]], tie[owner[hot]], start[hot], width[hot])
-                rank, whole, owner, start, width = rank[~hot], whole[~hot], owner[~hot], start[~hot], width[~hot]
-            key = [rank, whole] if length < LENGTH else [rank]
+                rank, whole, second, owner, start, width = rank[~hot], whole[~hot], second[~hot], owner[~hot], start[~hot], width[~hot]
+            key = [rank, second, whole] if length < LENGTH else [rank, second]
             for b, (o, s, w, *k) in _split((rank % U64(buckets)).astype(np.int64), buckets, owner, start, width, *key):
                 docs, o = np.unique(o, return_inverse=True)
                 rows.append((SEGMENTS, b, _packed(doc[docs], tie[docs], o.astype(np.uint32 if len(docs) > 65535 else np.uint16), s.astype(np.uint64 if s.max() >> 32 else np.uint32), w, *k)))
@@ -188,11 +226,11 @@ def _judged(length: int, buckets: int):
         if not parts:
             return
         doc, tie = (np.concatenate([p[i][p[2]] for p in parts]) for i in (0, 1))
-        start, width, rank, *whole = (np.concatenate([p[i].astype(U64) if i == 3 else p[i] for p in parts]) for i in range(3, len(parts[0])))
+        start, width, rank, second, *whole = (np.concatenate([p[i].astype(U64) if i == 3 else p[i] for p in parts]) for i in range(3, len(parts[0])))
         start = start.astype(np.int64)
         whole = whole[0] if whole else rank
         doc, tie = doc.view(np.int64), tie.view(np.int64)
-        _, leads, repeats = _settled(whole, doc, tie, start)
+        _, leads, repeats = _settled(whole, second, doc, tie, start)
         rows = _returned(REPEATED, buckets, doc[repeats], tie[repeats], start[repeats], width[repeats])
         if length < LENGTH:
             value, back, count = np.unique(rank[leads], return_inverse=True, return_counts=True)
@@ -252,10 +290,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(k, b)
 
 
-def _round(rows: DataFrame, length: int) -> DataFrame:
+def _round(rows: DataFrame, length: int, hot: int, piece: int) -> DataFrame:
     """One round over rows (doc_id, tie, at, text): RANGES of repeated and of contested string starts."""
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_ranked(length, buckets), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    dealt = rows.mapInArrow(_ranked(length, buckets, hot, piece), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     judged = dealt.mapInArrow(_judged(length, buckets), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     return saved(judged.mapInArrow(_gathered, RANGES), f"ranges-{length}")
 
@@ -293,11 +331,11 @@ def _contested(rows: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
     return saved(rows.join(known.hint("shuffle_hash"), ["doc_id", "tie"]).mapInArrow(_cut, PIECES), name)
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """(doc_id, tie, ranges) of the documents (doc_id, tie, at, text) that hold strings which also start earlier."""
     found, rows = [], docs
     for length in ROUNDS:
-        ranges = _round(rows, length)
+        ranges = _round(rows, length, hot, piece)
         found.append(ranges.where(F.col("kind") == REPEATED).select("doc_id", "tie", "ranges"))
         if length < LENGTH:
             rows = _contested(rows, ranges, f"strings-{length}")
@@ -337,15 +375,18 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def deduplicate(docs: DataFrame, digests: bool = False) -> DataFrame:
-    """Each row of docs (doc_id, text) as (doc_id, n_bytes, kept, spans): kept bytes, and first and end of each removed run in turn; or counts and the digest of what is kept."""
+def deduplicate(docs: DataFrame, digests: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:
+    """Each row of docs (doc_id, text) as (doc_id, n_bytes, kept, spans): kept bytes, and first and end of each removed run in turn; or counts and the digest of what is kept.
+
+    hot: segments of one batch from which a rank is frequent; piece: bytes that are ranked at a time.
+    """
     rows = small_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
         F.lit(0).cast("long").alias("at"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    ranges = repeated_ranges(rows)
+    ranges = repeated_ranges(rows, hot, piece)
     joined = rows.drop("at").join(ranges.hint("shuffle_hash"), ["doc_id", "tie"], "left")
     if digests:
         return joined.mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,9 +29,9 @@ def brute(rows, n=100):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit("clash")).repartition(3)
-    return sorted((tuple(r) for r in suffix_dedup.deduplicate(df, digests=True).collect()), key=str)
+    return sorted((tuple(r) for r in suffix_dedup.deduplicate(df, digests=True, **more).collect()), key=str)
 
 
 def test_documents_match_brute_force(spark):
@@ -39,8 +41,8 @@ def test_documents_match_brute_force(spark):
     assert got == brute(rows) and any(r[2] for r in got)
 
 
-def test_random_passages(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+@pytest.mark.parametrize("more", [{}, {"hot": 2}, {"piece": 130, "hot": 3}])
+def test_random_passages(spark, more):
     rng = random.Random(3)
     passages = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice([60, 99, 100, 101, 150, 400]))) for _ in range(12)]
     rows = []
@@ -49,7 +51,7 @@ def test_random_passages(spark, monkeypatch):
         for _ in range(rng.randrange(6)):
             text += rng.choice(passages) if rng.random() < 0.6 else "".join(rng.choice("xyz ") for _ in range(rng.randrange(120)))
         rows.append((i, text))
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, **more) == brute(rows)
 
 
 def test_edge_rows(spark):
@@ -60,18 +62,22 @@ def test_edge_rows(spark):
     assert suffix_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_huge_texts_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+def test_pieces_overlap():
     rng = random.Random(5)
-    long = "".join(rng.choice("abcdefgh") for _ in range(700))
-    from tallyforge.llm.suffix_dedup import _pieces  # the cut itself; tasks of other processes keep the module's size
-    import numpy as np
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tie": [2], "at": [5], "text": [long.encode()]})
-    parts = list(_pieces(iter([batch])))
+    long = "".join(rng.choice("abcdefgh") for _ in range(700)).encode()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tie": [2], "at": [5], "text": [long]})
+    parts = list(suffix_dedup._pieces(iter([batch]), 64))
     starts = [int(p[4][0]) - 5 + i for p in parts for i in range(len(p[0]) - 99)]
-    assert starts == list(range(601)) and all(np.array_equal(p[0], np.frombuffer(long.encode(), np.uint8)[int(p[4][0]) - 5 :][: len(p[0])]) for p in parts)
+    assert starts == list(range(601)) and all(bytes(p[0]) == long[int(p[4][0]) - 5 :][: len(p[0])] for p in parts)
+
+
+def test_tasks_settle_strings_that_they_have_sent():
+    seen = suffix_dedup.Seen(bits=1)
+    column = lambda *x: np.array(x, dtype=np.int64)
+    ask = lambda name, second, doc, start: seen.later(column(*name).astype(np.uint64), column(*second).astype(np.uint64), column(*doc), column(*[0] * len(doc)), column(*start)).tolist()
+    assert ask([7, 8], [1, 1], [5, 5], [0, 9]) == [False, False]
+    assert ask([8], [1], [6], [0]) == [True] and ask([8], [2], [6], [0]) == [False]
+    assert ask([8], [2], [6], [0]) == [False] and ask([8], [2], [5], [9]) == [False] and ask([8], [2], [5], [10]) == [True]
 
 
 def test_kept_and_spans(spark):
