@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: An amount, and what stands before or after one.
 AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 
 
@@ -83,6 +84,13 @@ def page_lot_number(text: Column) -> Column:
     return F.when(word.isin(*WRAPPERS), F.regexp_extract(out, r"(\d{1,12})$", 1)).otherwise(out)
 
 
+def fnv32(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-16 units."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+    hashed = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.when(text == "", F.lit(2166136261).cast("long")).otherwise(hashed)
+
+
 def fnv_low32(text: Column, start: int = 0x84222325) -> Column:
     """The low 32 bits of the 64-bit FNV-1a hash of a text's UTF-8 bytes; multiplying keeps low bits low, so 32 suffice."""
     octets = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
@@ -179,10 +187,14 @@ def singular(word: Column) -> Column:
     )
 
 
+def _led(numeral: Column) -> Column:
+    return F.concat(F.lpad(F.length(numeral).cast("string"), 3, "0"), numeral)
+
+
 def natural_key(text: Column) -> Column:
-    """A sort key that orders numerals by value and letters without case."""
+    """A sort key that orders numerals (of up to 999 digits) by value and letters without case: a numeral is led by its length."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 20, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), _led(F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(r)), "")
 
 
 def file_stem(text: Column) -> Column:

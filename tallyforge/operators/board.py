@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import money as M
 from tallyforge.functions import text as T
+from tallyforge.scratch import saved
 
 TOTALS = ("total_retail", "total_resale", "item_count", "weakest", "strongest", "anchor_count", "anchor_retail")
 
@@ -46,6 +46,7 @@ def board(lots: DataFrame, items: DataFrame, policy: M.BidPolicy = M.BidPolicy()
         valued.alias("has_valuation"),
         provisional.alias("is_provisional"),
         F.when(provisional, F.col("pre_resale")).otherwise(F.col("total_resale")).alias("display_resale"),
+        F.when(provisional, F.coalesce("pre_retail", F.lit(0.0))).otherwise(F.col("total_retail")).alias("display_retail"),
         profit.alias("profit"),
         M.ratio(profit, F.col("bid")).alias("roi"),
         M.ratio(F.col("total_resale"), F.col("total_retail")).alias("resale_share"),
@@ -94,7 +95,7 @@ def sort_key(field: str) -> Column:
     """What a field sorts by: displayed money for resale, valuation alone for profit and return, natural order for text."""
     if field in ("lot_number", "title"):
         return T.natural_key(F.col(field))
-    return F.col({"resale": "display_resale", "retail": "total_retail", "maxBid": "max_bid"}.get(field, field))
+    return F.col({"resale": "display_resale", "retail": "display_retail", "maxBid": "max_bid"}.get(field, field))
 
 
 def order_of(field: str, descending: bool) -> list[Column]:
@@ -108,11 +109,11 @@ def order_of(field: str, descending: bool) -> list[Column]:
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """df with each row's place from 1 in a global order, without one task for all rows.
 
-    Rows are dealt by ranges of the order, kept on the executors' disks so that both uses see one dealing, and numbered
-    inside a range; the totals of the ranges before, one number a range, are added.
+    Rows are dealt by ranges of the order, written so that both uses see one dealing, and numbered inside a range; the
+    totals of the ranges before, one number a range, are added.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = saved(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     sizes = ranged.groupBy("__range").count()
     before = sizes.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

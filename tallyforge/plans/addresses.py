@@ -150,5 +150,5 @@ ORACLE_SQL = {
         c AS (SELECT *, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS code_form FROM o)
         SELECT o_orderkey, raw, CASE WHEN o_orderkey % 4 = 3 THEN raw ELSE CAST(o_orderkey AS VARCHAR) END AS number, CASE WHEN length(code_form) >= 5 THEN code_form END AS code,
         trim(regexp_replace(raw, '[^A-Za-z0-9-]', '-', 'g'), '-') AS stem,
-        array_to_string(list_transform(regexp_extract_all(lower(raw), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), '') AS key FROM c""",
+        array_to_string(list_transform(regexp_extract_all(lower(raw), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CAST(length(r) AS VARCHAR), 3, '0') || r ELSE r END), '') AS key FROM c""",
 }

@@ -29,7 +29,7 @@ BOARD_SQL = f"""
     ), flagged AS (
         SELECT *, item_count > 0 AS has_valuation, item_count = 0 AND coalesce(pre_resale, 0) > 0 AS is_provisional, total_resale - bid AS profit FROM joined
     ), levelled AS (
-        SELECT *, CASE WHEN is_provisional THEN pre_resale ELSE total_resale END AS display_resale,
+        SELECT *, CASE WHEN is_provisional THEN pre_resale ELSE total_resale END AS display_resale, CASE WHEN is_provisional THEN coalesce(pre_retail, 0) ELSE total_retail END AS display_retail,
                CASE WHEN bid > 0 THEN profit / bid END AS roi, CASE WHEN total_retail > 0 THEN total_resale / total_retail END AS resale_share,
                CASE WHEN has_valuation THEN weakest WHEN is_provisional THEN pre_confidence END AS bid_confidence
         FROM flagged
@@ -87,7 +87,7 @@ def _sorted(field: str, descending: bool):
     return query
 
 
-_NATURAL = "list_transform(regexp_extract_all(lower({0}), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(regexp_replace(r, '^0+(.)', '\\1'), 20, '0') ELSE r END)"
+_NATURAL = "list_transform(regexp_extract_all(lower({0}), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CAST(length(regexp_replace(r, '^0+(.)', '\\1')) AS VARCHAR), 3, '0') || regexp_replace(r, '^0+(.)', '\\1') ELSE r END)"
 NATURAL_SQL = "array_to_string(" + _NATURAL + ", '')"
 
 
@@ -158,6 +158,8 @@ QUERIES = {
     "sort_roi_asc": _sorted("roi", False),
     "sort_roi_desc": _sorted("roi", True),
     "sort_resale_desc": _sorted("resale", True),
+    "sort_retail_desc": _sorted("retail", True),
+    "sort_max_bid_asc": _sorted("maxBid", False),
     "search_lot_number": _search("lot1"),
     "search_copy": _search("urgent"),
     "select_scope": select_scope,
@@ -187,6 +189,8 @@ ORACLE_SQL = {
     "sort_roi_asc": _sorted_sql("roi", "ASC"),
     "sort_roi_desc": _sorted_sql("roi", "DESC"),
     "sort_resale_desc": _sorted_sql("display_resale", "DESC"),
+    "sort_retail_desc": _sorted_sql("display_retail", "DESC"),
+    "sort_max_bid_asc": _sorted_sql("max_bid", "ASC"),
     "search_lot_number": _search_sql("lot1"),
     "search_copy": _search_sql("urgent"),
     "select_scope": _SELECTION_SQL + """ SELECT CASE WHEN count(c.lot_id) = 0 THEN 'none' WHEN count(c.lot_id) = count(*) THEN 'all' ELSE 'some' END AS scope, count(*) AS drawn, count(c.lot_id) AS selected

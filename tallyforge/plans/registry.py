@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import addresses, boards, listings, sequences
+from tallyforge.plans import addresses, boards, listings, scans, sequences
 
-MODULES = (boards, addresses, listings, sequences)
+MODULES = (boards, addresses, listings, scans, sequences)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -56,7 +56,9 @@ def frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", A.fingerprint(F.col("embedding")).alias("bits"))
+    """Vectors as frames of whole levels, their components held to 0 to 255 around 128."""
+    grays = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(128 + 256 * x.cast("double")), F.lit(0)), F.lit(255)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.fingerprint(grays).alias("bits"))
 
 
 def reading_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +194,8 @@ ORACLE_SQL = {
         SELECT lot_id, count(*) FILTER (WHERE taken) AS taken, count(*) FILTER (WHERE NOT taken) AS over, CAST(sum(CASE WHEN taken THEN n ELSE 0 END) AS BIGINT) AS bytes FROM walk GROUP BY 1""",
     "frame_groups": """WITH f AS (SELECT CAST(vec_id // 10 AS BIGINT) AS lot_id, vec_id AS position, array_to_string(list_transform(embedding[1:4], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS signal FROM embeddings)
         SELECT *, first_value(position) OVER (PARTITION BY lot_id, signal ORDER BY position) AS owner FROM f""",
+    "frame_fingerprints": """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor(128 + 256 * CAST(x AS DOUBLE)), 0), 255) AS BIGINT)) AS l FROM embeddings)
+        SELECT vec_id, CASE WHEN len(list_distinct(l)) >= 8 THEN array_to_string(list_transform(l, lambda x: CASE WHEN x >= list_sum(l) // len(l) THEN '1' ELSE '0' END), '') END AS bits FROM g""",
     "reading_upsert": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
     "running_answered": "SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS answered FROM events WHERE event_type IN ('click', 'view')",
     "settled_errors": "SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type = 'error' AND before = 'error'",

@@ -26,11 +26,13 @@ class ReadingArchive:
         names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return sorted(int(n) for n in names if n.isdigit())
 
+    def _all(self) -> DataFrame:
+        have = self._generations()
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
+
     def read(self, model: str | None = None, version: int = 1) -> DataFrame:
         """All readings of a version, of one model if named."""
-        have = self._generations()
-        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
-        rows = rows.where(F.col("version") == version)
+        rows = self._all().where(F.col("version") == version)
         return rows if model is None else rows.where(F.col("model") == model)
 
     def _write(self, rows: DataFrame) -> None:
@@ -39,13 +41,12 @@ class ReadingArchive:
 
     def store(self, readings: DataFrame) -> None:
         """Enters readings; of a key the newest generation stays."""
-        have = self._generations()
-        stored = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
+        stored = self._all()
         self._write(upsert(stored, readings.select(*stored.columns), KEY, "generation"))
 
     def forget(self, lots: DataFrame | None = None) -> None:
-        """Drops the readings of some lots (lot), or of all."""
-        rows = self.read()
+        """Drops the readings of some lots (lot), of every version, or of all."""
+        rows = self._all()
         self._write(rows.limit(0) if lots is None else rows.join(lots.select("lot"), "lot", "left_anti"))
 
     def stored_lots(self) -> int:

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lot_id, seq, lot_number, title, bid, active, pre_resale (null: not priced), pre_confidence."""
+    """lot_id, seq, lot_number, title, bid, active, pre_resale and pre_retail (null: not priced), pre_confidence."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").cast("long").alias("lot_id"),
@@ -24,6 +24,7 @@ def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.col("o_totalprice") * 0.3).alias("bid"),
         (F.col("o_orderstatus") != "F").alias("active"),
         F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice") * 0.5).alias("pre_resale"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice") * 0.8).alias("pre_retail"),
         F.when(F.col("o_orderstatus") == "O", "Med").otherwise("Low").alias("pre_confidence"),
     )
 
@@ -32,6 +33,7 @@ LOTS_SQL = """
     SELECT CAST(o_orderkey AS BIGINT) AS lot_id, CAST(o_orderkey AS BIGINT) AS seq, 'Lot ' || o_orderkey AS lot_number, 'Pallet ' || o_orderpriority AS title,
            CASE WHEN o_orderstatus = 'P' THEN 0.0::DOUBLE ELSE o_totalprice * 0.3::DOUBLE END AS bid, o_orderstatus <> 'F' AS active,
            CASE WHEN o_orderstatus <> 'F' THEN o_totalprice * 0.5::DOUBLE END AS pre_resale,
+           CASE WHEN o_orderstatus <> 'F' THEN o_totalprice * 0.8::DOUBLE END AS pre_retail,
            CASE WHEN o_orderstatus = 'O' THEN 'Med' ELSE 'Low' END AS pre_confidence
     FROM orders
 """

@@ -6,6 +6,8 @@ found is a Column of tallyforge.functions. Null and empty pages give no cards, n
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import paging as G
 from tallyforge.functions import text as T
 from tallyforge.functions import urls as U
 
@@ -25,7 +28,7 @@ UNSEEN = frozenset(("script", "style", "template", "noscript"))
 
 @dataclass(frozen=True)
 class Profile:
-    """What to look for: selectors are `tag`, `.class`, `#id` or `tag.class`, the earlier the better."""
+    """What to look for: selectors are compound (`tag`, `.class`, `#id`, `[name*='value' i]`), the earlier the better."""
 
     cards: tuple[str, ...] = (".lot-card", ".lot", ".item-card", "li.listing", "article")
     exclude: tuple[str, ...] = ("nav", "footer", ".ad", ".recommended")
@@ -65,10 +68,8 @@ class Node:
         return " ".join("".join(out).split())
 
     def matches(self, selector: str) -> bool:
-        tag, _, name = selector.partition(".")
-        if selector.startswith("#"):
-            return self.attributes.get("id") == selector[1:]
-        return (not tag or tag == self.tag) and (not name or name in self.attributes.get("class", "").split())
+        tag, tests = _selector(selector)
+        return (not tag or tag == self.tag) and all(name in self.attributes and test(self.attributes[name]) for name, test in tests)
 
     def inside(self, selectors: tuple[str, ...]) -> bool:
         """Whether the element or one around it matches a selector."""
@@ -88,6 +89,29 @@ class Node:
         return ""
 
 
+_TESTS = {"=": str.__eq__, "*": str.__contains__, "^": str.startswith, "$": str.endswith, "~": lambda have, want: want in have.split()}
+
+
+def _test(kind: str, want: str, any_case: bool) -> Callable[[str], bool]:
+    check = _TESTS[kind]
+    return (lambda have: check(have.lower(), want.lower())) if any_case else (lambda have: check(have, want))
+
+
+@functools.lru_cache(maxsize=1024)
+def _selector(selector: str) -> tuple[str, list[tuple[str, Callable[[str], bool]]]]:
+    """A compound selector as its tag and tests of attributes: .class, #id, [name], [name='value'], and *=, ^=, $=, ~= with or without `i`."""
+    tag, rest = re.match(r"([a-zA-Z][\w-]*|\*)?(.*)", selector.strip()).groups()
+    tests = []
+    for name, word, attribute, kind, value, any_case in re.findall(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~]?)=\s*[\"']?([^\"'\]]*)[\"']?\s*(i)?)?\s*\]", rest):
+        if name:
+            tests.append(("class", _test("~", name, False)))
+        elif word:
+            tests.append(("id", _test("=", word, False)))
+        else:
+            tests.append((attribute, _test(kind or ("=" if value else "*"), value, bool(any_case))))
+    return "" if tag in (None, "*") else tag.lower(), tests
+
+
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -236,11 +260,52 @@ def gallery(pages: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return noted.groupBy("page_id", "url").agg(F.min_by("note", F.when(F.col("note") == "gallery", 0).otherwise(1)).alias("note"))
 
 
+def visible_text(pages: DataFrame) -> DataFrame:
+    """(page_id, text): what a reader of each page sees."""
+    return _table(pages, lambda page_id, url, html: [{"page_id": page_id, "text": parsed(html).text()}], "page_id long, text string")
+
+
+LINKS = "page_id long, seq int, href string, url string, label string, rel string, in_pager boolean"
+PAGERS = ("[class*='pagination' i]", "[class*='pager' i]", "nav[aria-label*='pagination' i]")
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """LINKS of every page in document order, with the words that name them and whether they are in a pager."""
+
+    def rows_of(page_id: int, url: str | None, html: str | None) -> list[dict]:
+        out = []
+        for n, a in enumerate(x for x in parsed(html).walk() if x.tag == "a" and "href" in x.attributes):
+            named = " ".join(a.attributes.get(k, "") for k in ("aria-label", "title", "rel", "data-testid", "value", "name"))
+            out.append({"page_id": page_id, "seq": n, "href": a.attributes["href"], "url": absolute(a.attributes["href"], url), "label": f"{a.text()} {named}".strip(), "rel": a.attributes.get("rel", ""), "in_pager": a.inside(PAGERS)})
+        return out
+
+    return _table(pages, rows_of, LINKS)
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(page_id, pages, parameter, has_next, source): how many pages a listing has, by numbered links in a pager, any numbered links, or its text; null where nothing says so."""
+    numbered = links(pages).select("page_id", "in_pager", G.linked_page(F.col("href")).alias("n"), G.linked_parameter(F.col("href")).alias("parameter"), G.is_step(F.col("label"), F.col("rel")).alias("step"), G.looks_like_next(F.col("label"), F.col("rel")).alias("next"), "seq")
+    counts = ~F.col("step") & (F.col("n") > 0) & (F.col("n") <= G.CEILING)
+    best = lambda where: F.max(F.when(where, F.struct("n", (-F.col("seq")).alias("s"), "parameter")))
+    per = numbered.groupBy("page_id").agg(best(counts & F.col("in_pager")).alias("p"), best(counts).alias("a"), F.bool_or("next").alias("has_next"))
+    joined = visible_text(pages).join(per, "page_id", "left")
+    found = F.when(F.col("p.n") > 1, F.col("p")).when(F.col("a.n") > 1, F.col("a"))
+    said = G.pages_in_text(F.col("text"))
+    source = F.when(F.col("p.n") > 1, "pager").when(F.col("a.n") > 1, "links").when(said.isNotNull(), "text").when(F.col("has_next"), "next control").otherwise("nothing")
+    return joined.select("page_id", F.coalesce(found["n"], said).alias("pages"), found["parameter"].alias("parameter"), F.coalesce("has_next", F.lit(False)).alias("has_next"), source.alias("source"))
+
+
+def page_link(pages: DataFrame, wanted: int) -> DataFrame:
+    """(page_id, link): the first link of each page to page number wanted of the same listing."""
+    rows = links(pages).join(pages.select("page_id", F.col("url").alias("page")), "page_id").where((G.linked_page(F.col("href")) == wanted) & ~F.col("href").startswith("#") & G.same_listing(F.col("url"), F.col("page")))
+    return rows.groupBy("page_id").agg(F.min_by("url", "seq").alias("link"))
+
+
 def profiles(pages: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """One row per page: cards, links among them, sold ones, whether it says that nothing was found, and a signature of its first three cards."""
     c = cards(pages, profile)
-    head = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("position") < 3, F.struct("position", F.substring("text", 1, 140).alias("t"), F.slice("images", 1, 2).alias("i"))))), 1, 3), lambda x: F.concat(x["t"], F.array_join(x["i"], "|")))
-    per = c.groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"), F.count("link").alias("linked"), F.count_if(T.is_sold(F.col("text"))).alias("sold"), T.fnv_low32(F.array_join(head, "\n")).alias("signature"))
-    seen = pages.select("page_id", T.is_empty_listing(F.coalesce("html", F.lit(""))).alias("says_nothing"))
+    head = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("position") < 3, F.struct("position", F.substring("text", 1, 140).alias("t"), F.slice("images", 1, 2).alias("i"))))), 1, 3), lambda x: F.concat(x["t"], F.lit("|"), F.array_join(x["i"], ",")))
+    per = c.groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"), F.count("link").alias("linked"), F.count_if(T.is_sold(F.col("text"))).alias("sold"), T.fnv32(F.array_join(head, "~")).alias("signature"))
+    seen = visible_text(pages).select("page_id", T.is_empty_listing(F.col("text")).alias("says_nothing"))
     out = seen.join(per, "page_id", "left").fillna({"cards": 0, "linked": 0, "sold": 0})
     return out.withColumn("nothing_found", (F.col("cards") == 0) & F.col("says_nothing")).drop("says_nothing")
