@@ -157,7 +157,7 @@ QUERIES = {
     for q in (image_lists, page_links, row_phrases, scan_event_texts, text_budgets, local_codes, evidence_merge, response_envelopes, repeated_frames, frame_folds, page_walk, lot_routes)
 }
 
-_ONE = "list_filter({l}, lambda x, at: list_position(list_transform({l}, lambda y: lower(y)), lower(x)) = at)"
+_ONE = "list_filter({l}, lambda x, k: list_position(list_transform({l}, lambda y: lower(y)), lower(x)) = k)"
 
 ORACLE_SQL = {
     # the five variants of a photograph: two have an identity of their own, the arrow is junk
