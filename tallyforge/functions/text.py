@@ -140,7 +140,7 @@ def is_hinted(line: Column) -> Column:
 
 def line_identifiers(line: Column) -> Column:
     """The identifiers of one label line, in order, repeats included."""
-    tokens = F.filter(F.split(line, r"[\s:#]+"), lambda t: t != "")
+    tokens = F.filter(F.split(line, r"[\s:#]+"), lambda t: (F.length(t) >= 4) & t.rlike(r"\p{N}"))  # no other can be one
     return F.filter(F.transform(tokens, lambda t: identifier_token(t, is_hinted(line))), lambda t: t.isNotNull())
 
 

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session has one folder of its own and a cluster is an error, as its executors would not see it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _local_folder(context.applicationId)
     return named if "://" in named else f"file://{named}"
 
 
