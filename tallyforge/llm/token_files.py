@@ -5,7 +5,7 @@ A file (shard) holds consecutive documents in ascending id order:
 * data frames: each an ordinary zstandard frame of about FRAME_IDS token ids of whole documents, little-endian, 16 bits
   an id where the vocabulary allows and 32 otherwise;
 * an index, in a skippable frame: width of an id, number of documents, then id, number of ids and frame of each;
-* a seek table in the public seekable format: a skippable frame of (compressed size, size, checksum) for each data frame,
+* a seek table in the public seekable format: a skippable frame of (compressed size, size, XXH64) for each data frame,
   the number of frames, a descriptor byte and a magic number. Any zstandard reader can still read the whole file.
 
 A reader seeks to the trailing table, then to the index, and decompresses only frames of documents asked for.
@@ -36,6 +36,13 @@ MANIFEST = "path string, shard int, n_docs long, n_ids long, first_id long"
 DOCUMENTS = "doc_id long, position long, n_tokens long, ids_crc32 long"
 
 
+def _checksum(data: bytes) -> int:
+    """The low 32 bits of XXH64, as the public format has it."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
+
+
 def _file_system(uri: str):
     from pyarrow import fs
 
@@ -70,7 +77,7 @@ class ShardWriter:
             data = np.concatenate(self.open).astype(f"<u{self.width}").tobytes()
             packed = self.pack.compress(data)
             self.sink.write(packed)
-            self.seek.append((len(packed), len(data), zlib.crc32(data)))
+            self.seek.append((len(packed), len(data), _checksum(data)))
             self.open, self.held = [], 0
 
     def close(self) -> None:
@@ -107,7 +114,7 @@ class ShardReader:
     def frame(self, k: int) -> np.ndarray:
         self.source.seek(int(self.at[k]))
         data = self.unpack.decompress(self.source.read(int(self.seek[k, 0])), max_output_size=int(self.seek[k, 1]))
-        if len(data) != self.seek[k, 1] or zlib.crc32(data) != self.seek[k, 2]:
+        if len(data) != self.seek[k, 1] or _checksum(data) != self.seek[k, 2]:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(data, f"<u{self.width}").astype("<u4")
 
