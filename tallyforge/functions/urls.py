@@ -83,3 +83,14 @@ def image_mime(declared: Column, url: Column) -> Column:
     ending = F.lower(F.regexp_extract(path(url), r"\.([A-Za-z0-9]+)$", 1))
     by_ending = F.when(ending.isin("png", "gif", "webp", "heic", "bmp"), F.concat(F.lit("image/"), ending)).when(ending == "heif", "image/heic").otherwise("image/jpeg")
     return F.when(kind == "image/jpg", "image/jpeg").when(kind.startswith("image/"), kind).otherwise(by_ending)
+
+
+def page_lot_number_of(url: Column) -> Column:
+    """The last token of letters and digits that is a number of at most 12 digits, a wrapper undone; null if there is none."""
+    tokens = F.transform(F.reverse(F.split(url, "[^A-Za-z0-9]+")), lambda t: F.coalesce(F.when(t.rlike(r"^[A-Za-z]{1,24}\d{1,12}$"), T.unwrapped(t)), t))
+    return F.get(F.filter(tokens, lambda t: t.rlike(r"^\d{1,12}$")), F.lit(0))
+
+
+def is_auction_address(text: Column) -> Column:
+    """Whether a text is an http or https address with a host."""
+    return F.coalesce(F.trim(text).rlike(r"(?i)^https?://[^\s/?#]+"), F.lit(False))

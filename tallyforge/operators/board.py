@@ -138,3 +138,26 @@ def toggle_all(drawn: DataFrame, selected: DataFrame) -> DataFrame:
     missing = drawn.select("lot_id").join(selected, "lot_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
     gone = drawn.select("lot_id").distinct().withColumn("drawn", F.lit(True))
     return union.join(gone, "lot_id", "left").join(F.broadcast(missing)).where((F.col("missing") > 0) | F.col("drawn").isNull()).select("lot_id")
+
+
+def visible(columns: list[str], hidden: list[str] | None) -> list[str]:
+    """The columns to show, in the table's order: names that are no columns hide nothing, and hiding all hides none."""
+    gone = set(hidden or ()) & set(columns)
+    return [c for c in columns if c not in gone or len(gone) == len(columns)]
+
+
+def view(b: DataFrame, needle: str, field: str, descending: bool, hidden: list[str] | None = None) -> DataFrame:
+    """The table as shown: lots that match the search, numbered in order, in their visible columns."""
+    found = b.where(matches(needle, F.col("lot_number"), F.col("title"), F.lit(None).cast("string")))
+    return numbered(found, order_of(field, descending)).select("place", *visible(b.columns, hidden))
+
+
+def in_hand(b: DataFrame) -> DataFrame:
+    """What lots at hand show: bid, displayed money, whether it is provisional, and the profit by displayed resale."""
+    return b.select("lot_id", "bid", "display_retail", "display_resale", "is_provisional", (F.col("display_resale") - F.col("bid")).alias("display_profit"))
+
+
+def job_progress(rows: DataFrame) -> DataFrame:
+    """(job, progress) of rows (job, answered, share: of the step in hand, null for none): what is done of a job, 1 at most."""
+    done = F.sum(F.when(F.col("answered"), F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))))
+    return rows.groupBy("job").agg(F.least(F.lit(1.0), done / F.count(F.lit(1))).alias("progress"))

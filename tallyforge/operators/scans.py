@@ -147,3 +147,26 @@ def walked(pages: DataFrame, limit: int = 100) -> DataFrame:
     out = marked.join(firsts, F.col("listing").eqNullSafe(F.col("n_listing")) & (F.col("page") == F.col("n_page")), "left")
     new = F.coalesce("new_lots", F.lit(0)).cast("long")
     return out.select("listing", "page", new.alias("new_lots"), (F.size("keys") - new).alias("repeats"), F.col("seen").alias("already_read"))
+
+
+def reading_summary(objects: DataFrame) -> DataFrame:
+    """(lot, photographs, objects, unpriced, identifiers) of objects (lot, position, seq, unit_retail, unit_resale, identifiers), identifiers each once without regard to case in order."""
+    empty = F.expr("cast(array() as array<string>)")
+    ordered = F.sort_array(F.collect_list(F.struct("position", "seq", F.coalesce("identifiers", empty).alias("ids"))))
+    return objects.groupBy("lot").agg(
+        F.count_distinct("position").alias("photographs"), F.count(F.lit(1)).alias("objects"), F.count_if(~P.is_priced(F.col("unit_retail"), F.col("unit_resale"))).alias("unpriced"),
+        A.first_spellings(F.flatten(F.transform(ordered, lambda x: x["ids"]))).alias("identifiers"),
+    )
+
+
+def leftovers(groups: DataFrame, limit: int, filled: DataFrame) -> DataFrame:
+    """(lot, position) that are still to be sent: frames past the limit, then frames folded into an owner that filled (lot, position) does not hold."""
+    read = filled.select(F.col("lot").alias("f_lot"), F.col("position").alias("f_position"))
+    lost = groups.where("owner <> position").join(read, F.col("lot").eqNullSafe(F.col("f_lot")) & (F.col("owner") == F.col("f_position")), "left_anti")
+    return groups.where(F.col("position") > limit).select("lot", "position").unionByName(lost.where(F.col("position") <= limit).select("lot", "position"))
+
+
+def routed(reports: DataFrame, lots: DataFrame) -> DataFrame:
+    """reports (lot_number, any more) with the lot_id of the first lot (seq) that has their number; null where none has."""
+    first = lots.groupBy("lot_number").agg(F.min_by("lot_id", "seq").alias("lot_id"))
+    return reports.join(first, "lot_number", "left")

@@ -53,6 +53,16 @@ def board_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _board(spark, sf_dir)
 
 
+def board_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as shown for a search, by displayed resale, without some columns."""
+    b = _board(spark, sf_dir).select("lot_id", "seq", "lot_number", "title", "bid", "display_resale", "max_bid")
+    return B.view(b, "urgent", "resale", True, ["bid", "seq", "no column"])
+
+
+def board_in_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.in_hand(_board(spark, sf_dir))
+
+
 def lot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.roll_up(line_items(spark, sf_dir))
 
@@ -148,6 +158,8 @@ def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "rank_lots": rank_lots,
     "board_rows": board_rows,
+    "board_view": board_view,
+    "board_in_hand": board_in_hand,
     "lot_rollup": lot_rollup,
     "board_totals": board_totals,
     "board_counters": board_counters,
@@ -172,6 +184,8 @@ QUERIES = {
 ORACLE_SQL = {
     "rank_lots": BOARD_SQL + "SELECT seq, lot_number, bid, max_bid, bid_confidence, headroom, over_target, is_provisional, row_number() OVER (ORDER BY max_bid DESC NULLS LAST, seq) AS place FROM board",
     "board_rows": BOARD_SQL + "SELECT * FROM board",
+    "board_view": BOARD_SQL + "SELECT row_number() OVER (ORDER BY display_resale DESC NULLS LAST, seq) AS place, lot_id, lot_number, title, display_resale, max_bid FROM board WHERE title = 'Pallet 1-URGENT'",
+    "board_in_hand": BOARD_SQL + "SELECT lot_id, bid, display_retail, display_resale, is_provisional, display_resale - bid AS display_profit FROM board",
     "lot_rollup": f"""WITH items AS ({ITEMS_SQL}) SELECT lot_id, CAST(sum(retail) AS DOUBLE) AS total_retail, CAST(sum(resale) AS DOUBLE) AS total_resale, count(*) AS item_count,
         CASE max(CASE confidence WHEN 'High' THEN 0 WHEN 'Med' THEN 1 ELSE 2 END) WHEN 0 THEN 'High' WHEN 1 THEN 'Med' ELSE 'Low' END AS weakest,
         CASE min(CASE confidence WHEN 'High' THEN 0 WHEN 'Med' THEN 1 ELSE 2 END) WHEN 0 THEN 'High' WHEN 1 THEN 'Med' ELSE 'Low' END AS strongest,

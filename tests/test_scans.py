@@ -7,6 +7,7 @@ from tallyforge.functions import images as I
 from tallyforge.functions import paging as G
 from tallyforge.functions import phrases as P
 from tallyforge.functions import text as T
+from tallyforge.functions import urls as U
 from tallyforge.operators import board as B
 from tallyforge.operators import scans as C
 from tallyforge.scratch import scratch_path
@@ -141,6 +142,33 @@ def test_scan_operators_on_edge_rows(spark):
     assert sorted(tuple(r) for r in C.walked(walk).collect()) == [("l", 1, 2, 0, False), ("l", 2, 1, 1, False), ("l", 3, 0, 1, True)]
 
 
+def test_more_rows_and_addresses(spark):
+    assert B.visible(["a", "b", "c"], ["b", "x"]) == ["a", "c"] and B.visible(["a", "b"], ["a", "b"]) == ["a", "b"] and B.visible(["a"], None) == ["a"]
+    jobs = spark.createDataFrame([("j", True, None), ("j", False, 0.5), ("j", False, None), ("k", True, 0.9)], "job string, answered boolean, share double")
+    assert {r.job: r.progress for r in B.job_progress(jobs).collect()} == {"j": 0.5, "k": 1.0}
+    assert mapped(spark, U.page_lot_number_of, "http://h/ItemMain19002", "http://h/items?itemid=77#x", "http://h/spring-sale", "", None, "http://h/1234567890123") == ["19002", "77", None, None, None, None]
+    assert mapped(spark, U.is_auction_address, " https://h ", "HTTP://h/x", "ftp://h", "http://", "h", None) == [True, True, False, False, False, False]
+    objects = spark.createDataFrame([("l", 1, 0, 0.0, 0.0, ["A"]), ("l", 1, 1, 2.0, 0.0, ["a", "B"]), ("l", 4, 0, None, None, None)], "lot string, position int, seq int, unit_retail double, unit_resale double, identifiers array<string>")
+    assert [tuple(r) for r in C.reading_summary(objects).collect()] == [("l", 2, 3, 2, ["A", "B"])]
+    groups = spark.createDataFrame([("l", 1, 1), ("l", 2, 1), ("l", 3, 3), ("l", 4, 3), ("l", 5, 5)], "lot string, position int, owner int")
+    assert sorted(r.position for r in C.leftovers(groups, 4, groups.where("position = 1")).collect()) == [4, 5]
+    lots = spark.createDataFrame([(1, "7", 5), (2, "7", 4), (3, "8", 1)], "lot_id long, lot_number string, seq long")
+    reports = spark.createDataFrame([("7", "x"), ("9", "y")], "lot_number string, note string")
+    assert sorted((r.lot_number, r.lot_id) for r in C.routed(reports, lots).collect()) == [("7", 2), ("9", None)]
+
+
+def test_fallback_numbers_match_brute_force(spark):
+    def number(image, text):
+        h = 0xCBF29CE484222325
+        for b in (image or " ".join((text or "").split()) or "unknown-lot").encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return f"AUTO-{h % (1 << 32):08X}"
+
+    values = ["http://h/é.jpg", "", None, "x" * 3000]
+    assert mapped(spark, lambda v: T.fallback_number(v, F.lit(" a  b ")), *values) == [number(v, "a b") for v in values]
+    assert mapped(spark, lambda v: T.fallback_number(F.lit(""), v), *values) == [number("", v) for v in values]
+
+
 def test_archive_forgets_lots_of_every_version(spark):
     archive = ReadingArchive(spark, scratch_path(spark, "archive"))
     archive.store(spark.createDataFrame([("a", "m", 1, "u", 1, 1, "old"), ("a", "m", 2, "u", 1, 1, "two"), ("b", "m", 2, "u", 1, 1, "b")], SCHEMA))
