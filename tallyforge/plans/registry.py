@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import addresses, boards, listings, progress, scans, sequences
+from tallyforge.plans import addresses, answers, boards, listings, progress, scans, sequences
 
-MODULES = (boards, addresses, listings, scans, progress, sequences)
+MODULES = (boards, addresses, answers, listings, scans, progress, sequences)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -14,14 +14,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    """The stream with a watermark; a ts without a zone is taken in the session's, as watermarks need one."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed(stream: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events by type in windows of event time; what is later than the watermark is left out."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return _timed(stream, late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
 def first_seen(stream: DataFrame, key: list[str], late: str = "1 hour") -> DataFrame:
     """Each key's first row while the watermark remembers it."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+    return _timed(stream, late).dropDuplicatesWithinWatermark(key)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

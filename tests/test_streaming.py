@@ -33,3 +33,9 @@ def test_streams_over_several_files_and_none(spark, tmp_path):
     assert pairs == sorted({(r["user_id"], r["event_type"]) for r in rows})
     counts = {r.event_type: r.n for r in scan_events.event_counts(spark, str(tmp_path)).collect()}
     assert counts == {t: sum(r["event_type"] == t for r in rows) for t in {r["event_type"] for r in rows}}
+
+
+def test_first_rows_by_watermark_take_times_without_a_zone(spark):
+    stream = scan_events.first_seen(scan_events.events(spark, SF).select("ts", "user_id"), ["user_id"])
+    got = scan_events.drained(stream, "append")
+    assert sorted(r.user_id for r in got.collect()) == sorted({r["user_id"] for r in pq.read_table(f"{SF}/events.parquet").to_pylist()})
