@@ -1,4 +1,4 @@
-"""Queries over the HTML of pages: cards, galleries, page profiles."""
+"""Queries over the HTML of pages: cards, galleries, page profiles, descriptions, page counts."""
 
 from __future__ import annotations
 
@@ -20,7 +20,15 @@ def page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.profiles(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"listing_cards": listing_cards, "page_gallery": page_gallery, "page_profiles": page_profiles}
+def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.descriptions(table(spark, sf_dir, "pages"))
+
+
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_counts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"listing_cards": listing_cards, "page_gallery": page_gallery, "page_profiles": page_profiles, "page_descriptions": page_descriptions, "page_numbers": page_numbers}
 
 #: HTML is read by a parser; the operators are tested on small pages instead.
 ORACLE_SQL: dict[str, str] = {}

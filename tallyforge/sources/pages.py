@@ -36,6 +36,7 @@ class Profile:
     number: tuple[str, ...] = (".lot-number", ".number")
     bid: tuple[str, ...] = (".current-bid", ".bid", ".price")
     status: tuple[str, ...] = (".status", ".badge")
+    description: tuple[str, ...] = (".lot-description", ".description", "[class*='description' i]")
     least_text: int = 12
     most_images: int = 4
 
@@ -265,6 +266,31 @@ def visible_text(pages: DataFrame) -> DataFrame:
     return _table(pages, lambda page_id, url, html: [{"page_id": page_id, "text": parsed(html).text()}], "page_id long, text string")
 
 
+#: Headings that a description block prints over itself.
+HEADINGS = (r"(?i)^(lot|item|auction|product)\s+description\s*[:\-\u2013]?\s*", r"(?i)^description\s*[:\-\u2013]?\s*")
+
+
+def without_heading(text: Column) -> Column:
+    """A description without its own heading."""
+    for heading in HEADINGS:
+        text = F.regexp_replace(text, heading, "")
+    return F.trim(text)
+
+
+def descriptions(pages: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """(page_id, text, selector) of every page: of the selectors in order, the first element with text beside its heading; both empty without any."""
+
+    def rows_of(page_id: int, url: str | None, html: str | None) -> list[dict]:
+        root = parsed(html)
+        found = [(s, n.text()) for s in profile.description for n in root.walk() if n.matches(s)]
+        return [{"page_id": page_id, "found": [{"selector": s, "text": t} for s, t in found if t]}]
+
+    blocks = _table(pages, rows_of, "page_id long, found array<struct<selector string, text string>>")
+    told = F.transform("found", lambda b: F.struct(without_heading(b["text"]).alias("text"), b["selector"].alias("selector")))
+    first = F.get(F.filter(told, lambda b: b["text"] != ""), F.lit(0))
+    return blocks.select("page_id", F.coalesce(first["text"], F.lit("")).alias("text"), F.coalesce(first["selector"], F.lit("")).alias("selector"))
+
+
 LINKS = "page_id long, seq int, href string, url string, label string, rel string, in_pager boolean"
 PAGERS = ("[class*='pagination' i]", "[class*='pager' i]", "nav[aria-label*='pagination' i]")
 

@@ -42,12 +42,29 @@ def test_profiles_have_a_row_for_every_page(spark):
     assert P.cards(_pages(spark).limit(0)).count() == 0
 
 
+def test_descriptions_take_the_first_block_with_text(spark):
+    pages = {
+        1: '<div class="description">Lot Description: Description - Six  lamps</div>',
+        2: '<p class="Item-Description-Box">Aside</p><div class="description"> Description: </div><div class="description">item DESCRIPTION \u2013 Chairs</div>',
+        3: '<p class="Item-Description-Box">Descriptions of goods</p>',
+        4: '<div class="lot-description"><script>x</script></div>',
+        5: "",
+        6: None,
+        7: '<div class="description">' + "word " * 50_000 + "</div>",
+    }
+    rows = spark.createDataFrame([(k, "https://e.org", html) for k, html in pages.items()], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: (r.text, r.selector) for r in P.descriptions(rows).collect()}
+    box = "[class*='description' i]"
+    assert got == {1: ("Six lamps", ".description"), 2: ("Chairs", ".description"), 3: ("s of goods", box), 4: ("", ""), 5: ("", ""), 6: ("", ""), 7: (("word " * 50_000).strip(), ".description")}
+    assert P.descriptions(rows.limit(0)).count() == 0
+
+
 def test_queries_over_pages(spark):
     from tallyforge.plans import listings
 
     sf = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert listings.page_profiles(spark, sf).count() == n
+    assert listings.page_profiles(spark, sf).count() == listings.page_descriptions(spark, sf).count() == listings.page_numbers(spark, sf).count() == n
     cards = listings.listing_cards(spark, sf)
     assert cards.select("page_id").distinct().count() <= n and cards.where("lot_number IS NULL").count() == 0
     assert listings.page_gallery(spark, sf).where("url IS NULL").count() == 0
