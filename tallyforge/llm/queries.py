@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat_format, decontam, jaccard_join, langid, maxscore, packing, secrets, suffix_dedup, token_files, url_filter
+from tallyforge.llm import chat_format, chat_repair, decontam, jaccard_join, langid, maxscore, packing, secrets, suffix_dedup, token_files, url_filter
 from tallyforge.llm.common import saved, scratch_path, table
 
 #: Conversation -7 of the contract: both texts hold what looks like the template.
@@ -109,6 +109,11 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at least cost."""
+    return chat_repair.repair(chat_repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -120,12 +125,77 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op12_chat_repair": op12_chat_repair,
 }
 
 _NTH = "(ascii(substr(digest, {0}, 1)) * 7 + ascii(substr(digest, {1}, 1)) * 3)"
 _DUCK_START = f"CAST(DATE '2024-01-01' + CAST({_NTH.format(2, 3)} % 400 AS INTEGER) AS DATE)"
 
+
+def _paid(state: str, cost: str, letter: str) -> str:
+    """SQL: a state of op12 (six digits of cost, then the audit) after an edit; null stays null."""
+    return f"(lpad(CAST(CAST(substr({state}, 1, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || substr({state}, 7) || '{letter}')"
+
+
+def _repair_sql() -> str:
+    """A row at a time, the least (cost, audit) of each of the four states; equal costs are never prefixes of each other, so the least stays the least."""
+    inserted = lambda a: f"[{a}[1], {a}[2], least({a}[3], {_paid(a + '[1]', '5', 'I')}, {_paid(a + '[2]', '5', 'I')}, {_paid(a + '[4]', '5', 'I')}), {a}[4]]"
+    closed = lambda a: f"list_transform([{inserted(a)}], lambda i: [i[1], i[2], i[3], least(i[4], {_paid('i[3]', '5', 'I')})])[1]"
+    kept = "CASE WHEN x[2] < '2' AND x[1] = '{0}' THEN " + _paid("c[{1}]", "CASE x[2] WHEN '1' THEN 5 ELSE 0 END", "K") + " END"
+    reroled = "CASE WHEN x[2] < '2' AND x[1] <> '{0}' THEN " + _paid("c[{1}]", "CASE x[2] WHEN '1' THEN 6 ELSE 1 END", "R") + " END"
+    user = ", ".join(form.format("u", s) for form in (kept, reroled) for s in (1, 2, 4))
+    assistant = ", ".join(form.format("a", 3) for form in (kept, reroled))
+    step = f"[{_paid('c[1]', '2', 'D')}, least({_paid('c[2]', '2', 'D')}, {kept.format('s', 1)}), least({_paid('c[3]', '2', 'D')}, {user}), least({_paid('c[4]', '2', 'D')}, {assistant})]"
+    return r"""
+        WITH keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+        ), dealt AS (
+            SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+                lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, CASE WHEN d & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), CAST(4294967295 AS BIGINT)) % 20 AS kind
+            FROM keyed
+        ), hurt AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM dealt WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+                   CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS c,
+                   regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending
+            FROM hurt
+        ), judged AS (
+            SELECT *, CASE WHEN ending = '' THEN '2' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN '3' WHEN ending IN ('.', '!', '?') THEN '0' ELSE '1' END AS f,
+                   lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS p
+            FROM placed
+        ), told AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = '2') AS blank, count(*) FILTER (f = '3') AS duplicate,
+                   count(*) FILTER (f = '1') AS truncated, count(*) FILTER (p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal, list([c, f] ORDER BY i) AS codes
+            FROM judged GROUP BY conv_id
+        ), paid AS (
+            SELECT *, list_reduce(list_concat([['000000', NULL, NULL, NULL]], codes), lambda a, x: list_transform([""" + closed("a") + "], lambda c: " + step + ")[1]) AS a FROM told" + """
+        ), ended AS (SELECT *, list_transform([""" + closed("a") + r"""], lambda c: least(c[1], c[4]))[1] AS best FROM paid
+        ), audits AS (SELECT *, CAST(substr(best, 1, 6) AS BIGINT) AS cost, substr(best, 7) AS audit FROM ended
+        ), edits AS (
+            SELECT conv_id, j, letter, sum(CAST(letter <> 'I' AS INTEGER)) OVER w AS i, sum(CAST(letter <> 'D' AS INTEGER)) OVER w AS o
+            FROM (SELECT conv_id, generate_subscripts(string_split(audit, ''), 1) AS j, unnest(string_split(audit, '')) AS letter FROM audits WHERE audit <> '')
+            WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+        ), written AS (
+            SELECT e.conv_id, e.o, e.letter, r.c, r.role, CASE WHEN e.letter = 'I' THEN '' ELSE r.text END AS text,
+                   max(CAST(e.letter = 'K' AND r.c = 's' AS INTEGER)) OVER (PARTITION BY e.conv_id) AS s
+            FROM edits e LEFT JOIN judged r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i AND e.letter <> 'I' WHERE e.letter <> 'D'
+        ), repaired AS (
+            SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o)) AS h
+            FROM written GROUP BY conv_id
+        )
+        SELECT d.conv_id, coalesce(a.gaps, 0) AS gaps, coalesce(a.blank, 0) AS blank, coalesce(a.duplicate, 0) AS duplicate, coalesce(a.truncated, 0) AS truncated, coalesce(a.illegal, 0) AS illegal,
+               coalesce(a.cost, 0) AS cost, coalesce(a.audit, '') AS audit, coalesce(r.h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM d.conv_id
+    """
+
+
 ORACLE_SQL = {
+    "op12_chat_repair": _repair_sql(),
     "op6_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
