@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat_format, chat_repair, decontam, jaccard_join, langid, maxscore, packing, secrets, suffix_dedup, token_files, url_filter
+from tallyforge.llm import chat_format, chat_repair, decontam, jaccard_join, langid, lm_scoring, maxscore, packing, secrets, suffix_dedup, token_files, url_filter
 from tallyforge.llm.common import saved, scratch_path, table
 
 #: Conversation -7 of the contract: both texts hold what looks like the template.
@@ -114,6 +114,11 @@ def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(chat_repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document by a trigram model of the documents that are not held out."""
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -126,6 +131,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
     "op12_chat_repair": op12_chat_repair,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 _NTH = "(ascii(substr(digest, {0}, 1)) * 7 + ascii(substr(digest, {1}, 1)) * 3)"
@@ -162,7 +168,9 @@ def _repair_sql() -> str:
         ), placed AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
                    CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS c,
-                   regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending
+                   regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ending
             FROM hurt
         ), judged AS (
             SELECT *, CASE WHEN ending = '' THEN '2' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN '3' WHEN ending IN ('.', '!', '?') THEN '0' ELSE '1' END AS f,
