@@ -25,12 +25,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import saved, slices, small_batches, utf8_bytes
 from tallyforge.llm.elias_fano import EliasFano, mapped
+from tallyforge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from tallyforge.llm.shingles import BASE, U64, mixed, word_hashes
 
 BLOCK = 1 << 20  # tokens
@@ -41,25 +41,6 @@ END = U64(0x5851F42D4C957F2D)  # stands for the end of a text, which is no word
 CHUNK = 1 << 16  # tokens scored at a time
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values.astype(U64), prepend=U64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=U64)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document's text is not learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 10 == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat_format, chat_repair, decontam, jaccard_join, langid, lm_scoring, maxscore, packing, secrets, suffix_dedup, token_files, url_filter
+from tallyforge.llm import align, chat_format, chat_repair, decontam, jaccard_join, langid, lm_scoring, maxscore, packing, secrets, suffix_dedup, token_files, url_filter
 from tallyforge.llm.common import saved, scratch_path, table
 
 #: Conversation -7 of the contract: both texts hold what looks like the template.
@@ -109,6 +109,11 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two public vocabularies, aligned."""
+    return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by rule and repaired at least cost."""
     return chat_repair.repair(chat_repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
@@ -130,6 +135,7 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_chat_repair": op12_chat_repair,
     "op13_lm_scoring": op13_lm_scoring,
 }
