@@ -13,7 +13,7 @@ one output string, so a conversation has to fit a row, as in any formatter; diff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control string and its code letter, in the order of escaping.
@@ -46,60 +46,58 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         ).alias("t"),
     )
     collected = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # a block starts where the role changes; its turns are merged as one slice
+    # a block starts where the role changes; its turns are merged to one array of parts
     starts = F.expr("filter(sequence(0, size(turns) - 1), i -> i = 0 or turns[i].role != turns[i - 1].role)")
-    sliced = collected.withColumn("starts", starts).withColumn(
+    merged = collected.withColumn("starts", starts).withColumn(
         "blocks",
-        F.expr("transform(starts, (s, k) -> slice(turns, s + 1, coalesce(get(starts, k + 1), size(turns)) - s))"),
+        F.expr("transform(starts, (s, k) -> named_struct('role', turns[s].role, 'parts', transform(sequence(s, coalesce(get(starts, k + 1), size(turns)) - 1), i -> turns[i].text)))"),
     )
-    rendered = sliced.select(
-        "conv_id",
-        F.transform(
-            "blocks",
-            lambda b: F.struct(
-                (F.get(b, F.lit(0))["role"] == train_on).alias("trained"),
-                F.concat(F.lit(HEADER), escaped(F.get(b, F.lit(0))["role"], role=True), F.lit("\n")).alias("head"),
-                F.transform(b, lambda t: escaped(t["text"])).alias("parts"),
-            ),
-        ).alias("blocks"),
-    )
-    pieces = rendered.select(
-        "conv_id",
+    # what is written, piece by piece; only pieces know their lengths, so offsets are one running sum
+    piece = lambda text, trained=F.lit(False): F.struct(text.alias("text"), trained.alias("trained"))
+    written = F.transform(
         "blocks",
-        F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["parts"], PART), F.lit(END))), "").alias("formatted"),
-    )
-    widths = pieces.withColumn(
-        "widths",
-        F.expr(f"transform(blocks, b -> length(b.head) + length(array_join(b.parts, '{PART}')) + {len(END)})"),
+        lambda b: F.concat(
+            F.array(piece(F.concat(F.lit(HEADER), escaped(b["role"], role=True), F.lit("\n")))),
+            F.flatten(F.transform(b["parts"], lambda t, j: F.concat(F.when(j > 0, F.array(piece(F.lit(PART)))).otherwise(F.array().cast("array<struct<text:string,trained:boolean>>")), F.array(piece(escaped(t), b["role"] == train_on))))),
+            F.array(piece(F.lit(END))),
+        ),
     )
-    spans = F.expr(
-        f"""flatten(transform(blocks, (b, k) -> if(b.trained,
-              transform(b.parts, (p, j) -> named_struct(
-                'start', aggregate(slice(widths, 1, k), 0, (a, x) -> a + x) + length(b.head)
-                         + aggregate(slice(b.parts, 1, j), 0, (a, x) -> a + length(x) + {len(PART)}),
-                'length', length(p))),
-              cast(array() as array<struct<start:int,length:int>>))))"""
+    pieces = merged.select("conv_id", F.posexplode(F.flatten(written)).alias("i", "p")).select("conv_id", "i", "p.text", "p.trained")
+    before = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int"))
+    in_order = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "text"))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("trained"), F.struct("i", "start", F.length("text").alias("length"))))).alias("spans"),
     )
-    return widths.select("conv_id", "formatted", spans.alias("loss_spans"))
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    return in_order.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def spanned(text: str, spans: str, width: int = 4096) -> Column:
+    """The texts of spans (start, length in code points), read from chunks of the text, so that each costs what it is long and not where it lies."""
+    chunks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+    def cut(c: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / width).cast("int"), F.floor((s["start"] + s["length"]) / width).cast("int")
+        around = F.array_join(F.transform(F.sequence(first, last), lambda k: F.coalesce(F.get(c, k), F.lit(""))), "")
+        return F.substring(around, s["start"] - first * width + 1, s["length"])
+
+    return F.get(F.transform(F.array(F.struct(chunks.alias("c"), F.col(spans).alias("s"))), lambda x: F.transform(x["s"], lambda s: cut(x["c"], s))), F.lit(0))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """The turns (role, text) and the trained text, read back from formatted and loss_spans."""
     blocks = F.filter(F.split("formatted", END), lambda b: b != "")
-    turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.substring(b, F.instr(b, "\n") + F.lit(1), F.length(b)), PART),
-                lambda p: F.struct(
-                    unescaped(F.substring(F.substring_index(b, "\n", 1), F.lit(len(HEADER) + 1), F.length(b)), role=True).alias("role"),
-                    unescaped(p).alias("text"),
-                ),
-            ),
-        )
+    read = F.transform(
+        blocks,
+        lambda b: F.struct(
+            unescaped(F.substring(F.substring_index(b, "\n", 1), F.lit(len(HEADER) + 1), F.length(b)), role=True).alias("role"),
+            F.split(F.substring(b, F.instr(b, "\n") + F.lit(1), F.length(b)), PART).alias("parts"),
+        ),
     )
-    trained = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), trained.alias("trained"))
+    known = formatted.select("conv_id", "formatted", read.alias("blocks"), spanned("formatted", "loss_spans").alias("cut"))
+    turns = F.flatten(F.transform("blocks", lambda b: F.transform(b["parts"], lambda p: F.struct(b["role"].alias("role"), unescaped(p).alias("text")))))
+    return known.select("conv_id", "formatted", turns.alias("turns"), F.array_join(F.transform("cut", lambda c: unescaped(c)), "").alias("trained"))
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -48,3 +49,23 @@ def test_adjacent_turns_merge_and_spans_leave_the_template_out(spark):
 def test_no_python_worker_in_the_plan(spark):
     plan = op6_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_work_follows_the_turns(spark):
+    """Sixteen times the turns take no more than ten times as long, however they are merged."""
+    for role in (F.lit("assistant"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")):
+        seconds = []
+        for n in (2_000, 2_000, 32_000):
+            turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.repeat(F.lit("wörd. "), 20).alias("text"))
+            began = time.perf_counter()
+            got = chat_format.digests(chat_format.read_chats(chat_format.format_chats(turns))).first()
+            seconds.append(time.perf_counter() - began)
+            assert got.n_turns == n
+        assert seconds[2] < 10 * max(seconds[1], 1)
+
+
+def test_spans_over_chunks(spark):
+    text = "".join(chr(0x1D4B6 + i % 26) if i % 3 else "é" for i in range(100))
+    spans = [(a, n) for a in (0, 1, 7, 8, 9, 15, 16, 50, 92, 100) for n in (0, 1, 7, 8, 9, 17, 40) if a + n <= 100]
+    df = spark.createDataFrame([(text, [{"start": a, "length": n} for a, n in spans])], "text string, spans array<struct<start:int,length:int>>")
+    assert df.select(chat_format.spanned("text", "spans", 8)).first()[0] == [text[a : a + n] for a, n in spans]
