@@ -48,6 +48,24 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = BATC
     pa.default_memory_pool().release_unused()
 
 
+#: Bytes of input (as stored) for each bucket that a task gathers whole; buckets of a shuffle partition at least and at most.
+BUCKET_BYTES = 4 << 20
+BUCKETS = (8, 1024)
+
+
+def bucketed(rows: DataFrame) -> tuple[int, int]:
+    """(buckets, shuffle partitions) for rows: buckets follow the bytes that Spark expects of rows, so that what a task holds at a time, one bucket, follows neither the input nor the number of partitions."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least, most = BUCKETS
+    return min(max(least * partitions, -(-size // BUCKET_BYTES)), most * partitions), partitions
+
+
+def by_bucket(rows: DataFrame, partitions: int) -> DataFrame:
+    """rows dealt by their column bucket, the rows of a bucket one after another."""
+    return rows.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket")
+
+
 def utf8_bytes(column: pa.Array) -> tuple:
     """(bytes, offsets) of a string column without nulls; the bytes of row i are bytes[offsets[i]:offsets[i + 1]]."""
     import numpy as np

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import id_text, saved, slices, utf8_bytes
+from tallyforge.llm.common import bucketed, by_bucket, id_text, saved, slices, utf8_bytes
 from tallyforge.llm.shingles import U64, mixed, shingle_sets
 from tallyforge.operators.links import components
 from tallyforge.operators.lookups import lookup
@@ -403,9 +403,10 @@ def _packed_task(rows: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_text(docs).mapInArrow(_dealt(buckets), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(_counted(buckets), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    texts = id_text(docs)
+    buckets, partitions = bucketed(texts)
+    dealt = by_bucket(texts.mapInArrow(_dealt(buckets), ROWS), partitions)
+    counted = by_bucket(dealt.mapInArrow(_counted(buckets), ROWS), partitions)
     sets = saved(counted.mapInArrow(_kept, SETS), "shingle-sets")
     rows = sets.where("shingles is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
     roots = set_roots(sets.where("shingles is not null"), part)

@@ -1,9 +1,11 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings in rounds of doubled length, by hashed ranks and anchors.
 
 A byte goes when it is covered by a string of LENGTH bytes that also starts earlier (in a document of smaller id, or
-earlier in its own). Positions are ranked by the bytes that follow them, at lengths that double until LENGTH: each
-round's rank of a position is named by the pair of its rank and the rank half a length on, positions whose rank is
-unique drop out, and the last round's ranks are of whole strings, where all but the least position of a rank repeat.
+earlier in its own). Rounds rank positions by the 25, 50 and 100 bytes that follow them; positions whose rank is unique
+drop out, and in the last round all but the least position of a rank repeat. This is not the prefix doubling that sorts
+pairs of ranks over the whole corpus and ranks them again: a rank is a hash of the bytes, computed from the text in each
+round (two hashes of half the length make one), and no round takes over the ranks of the round before. Sorting all
+positions took 24 times the text in its first round (README).
 
 In the rounds before the last not every position is shuffled. A string is represented by its anchor, the position of
 least hash among those whose ranked bytes lie inside it, so neighbours mostly share one; equal strings have equal anchors.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved, slices, small_batches, utf8_bytes
+from tallyforge.llm.common import bucketed, by_bucket, saved, slices, small_batches, utf8_bytes
 from tallyforge.llm.jaccard_join import ROWS, _batch, _packed, _split, _unpacked
 from tallyforge.llm.shingles import BASE, BASE_INVERSE, U64, mixed, powers
 
@@ -292,9 +294,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _round(rows: DataFrame, length: int, hot: int, piece: int) -> DataFrame:
     """One round over rows (doc_id, tie, at, text): RANGES of repeated and of contested string starts."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_ranked(length, buckets, hot, piece), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    judged = dealt.mapInArrow(_judged(length, buckets), ROWS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    buckets, partitions = bucketed(rows)
+    dealt = by_bucket(rows.mapInArrow(_ranked(length, buckets, hot, piece), ROWS), partitions)
+    judged = by_bucket(dealt.mapInArrow(_judged(length, buckets), ROWS), partitions)
     return saved(judged.mapInArrow(_gathered, RANGES), f"ranges-{length}")
 
 
