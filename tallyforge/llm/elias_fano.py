@@ -73,21 +73,23 @@ class EliasFano:
         return (high << U64(self.width) | self._low(i)).astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where it does not occur: the first successor in the bucket of its high bits, then on while low bits are smaller."""
+        """The place of each value, -1 where it does not occur: the first successor of its low bits in the bucket of its high bits."""
         values = values.astype(U64)
         high, low = (values >> U64(self.width)).astype(np.int64), values & U64((1 << self.width) - 1)
-        bit = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
-        out, open_ = np.full(len(values), -1, np.int64), np.arange(len(values))
+        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
+        end = self._select(high, False) - high
+        stop = end.copy()
+        open_ = np.flatnonzero(first < stop)
         while len(open_):
-            b = bit[open_]
-            is_one = (self.high[b >> 6] >> (b & 63).astype(U64)) & U64(1) == 1
-            open_, b = open_[is_one], b[is_one]
-            at = b - high[open_]
-            found = self._low(at)
-            same = found == low[open_]
-            out[open_[same]] = at[same]
-            open_ = open_[found < low[open_]]
-            bit[open_] += 1
+            middle = (first[open_] + stop[open_]) >> 1
+            below = self._low(middle) < low[open_]
+            first[open_[below]] = middle[below] + 1
+            stop[open_[~below]] = middle[~below]
+            open_ = open_[first[open_] < stop[open_]]
+        out = np.full(len(values), -1, np.int64)
+        there = np.flatnonzero(first < end)
+        same = there[self._low(first[there]) == low[there]]
+        out[same] = first[same]
         return out
 
 

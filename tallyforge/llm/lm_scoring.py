@@ -34,7 +34,7 @@ from tallyforge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from tallyforge.llm.shingles import BASE, U64, mixed, word_hashes
 
 BLOCK = 1 << 20  # tokens
-SHARD = 1 << 22  # n-grams that a shard is sent, about
+SHARD = 1 << 22  # n-grams of a level that a shard is sent at most, about
 K2, K3 = 8.0, 4.0
 STEP = 1 / 4096
 END = U64(0x5851F42D4C957F2D)  # stands for the end of a text, which is no word
@@ -47,7 +47,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def token_blocks(docs: DataFrame, train: Column, block: int = BLOCK) -> DataFrame:
-    """(block, train_docs, train_tokens, grams, parts) of all texts; parts: ids (and which are null), train flags, token counts, the distinct words' hashes and the tokens as places among them."""
+    """(block, train_docs, train_tokens, tokens, parts) of all texts; parts: ids (and which are null), train flags, token counts, the distinct words' hashes and the tokens as places among them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -59,10 +59,10 @@ def token_blocks(docs: DataFrame, train: Column, block: int = BLOCK) -> DataFram
             ids, nulls, train, lengths, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
             words, place = np.unique(tokens, return_inverse=True)
             parts = [pack(ids.view(U64)), pack(nulls), pack(train), pack(lengths), pack_sorted(words), pack(place)]
-            row = [[number], [int(train.sum())], [int(lengths[train > 0].sum())], [3 * len(tokens)], [parts]]
+            row = [[number], [int(train.sum())], [int(lengths[train > 0].sum())], [len(tokens)], [parts]]
             number += 1
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in row[:-1]), pa.array(row[-1], pa.list_(pa.binary()))], names=["block", "train_docs", "train_tokens", "grams", "parts"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in row[:-1]), pa.array(row[-1], pa.list_(pa.binary()))], names=["block", "train_docs", "train_tokens", "tokens", "parts"])
 
         for batch in slices(batches, "text"):
             raw, offsets = utf8_bytes(batch.column("text"))
@@ -79,7 +79,7 @@ def token_blocks(docs: DataFrame, train: Column, block: int = BLOCK) -> DataFram
             yield close()
 
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
-    return texts.mapInArrow(rows, "block long, train_docs long, train_tokens long, grams long, parts array<binary>")
+    return texts.mapInArrow(rows, "block long, train_docs long, train_tokens long, tokens long, parts array<binary>")
 
 
 class Block:
@@ -112,51 +112,48 @@ class Block:
         return distinct, np.bincount(back[learned], minlength=len(distinct)), at[first]
 
 
-def requests(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, level, block, keys, counts): what each block sends to each shard; shards hold even ranges of hashes."""
+def requests(blocks: DataFrame, level: int, shards: int) -> DataFrame:
+    """(shard, block, keys, counts): what each block asks each shard about its n-grams of a level; shards hold even ranges of hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts in _columns(batches, "block", "parts"):
-            block = Block(parts)
-            for level in (1, 2, 3):
-                keys, counts, _ = block.grams(level)
-                shard = ((keys >> U64(32)) * U64(shards)) >> U64(32)
-                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
-                spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-                out = [(int(shard[a]), level, number, pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in spans]
-                for k in range(0, len(out), 16):
-                    yield _batch(out[k : k + 16], ("shard", "level", "block", "keys", "counts"), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))
+            keys, counts, _ = Block(parts).grams(level)
+            shard = ((keys >> U64(32)) * U64(shards)) >> U64(32)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
+            spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+            for k in range(0, len(spans), 16):
+                out = [(int(shard[a]), number, pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in spans[k : k + 16]]
+                yield _batch(out, ("shard", "block", "keys", "counts"), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
 
-    return blocks.select("block", "parts").mapInArrow(rows, "shard long, level int, block long, keys binary, counts binary")
+    return blocks.select("block", "parts").mapInArrow(rows, "shard long, block long, keys binary, counts binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """(block, level, shard, counts, seen): the corpus' training counts of what was asked, in that order; seen: distinct n-grams with a count, told in one row of each shard and level."""
+def answers(asked: DataFrame, level: int) -> DataFrame:
+    """(block, level, shard, counts, seen): the corpus' training counts of what was asked, in that order; seen: distinct n-grams with a count, told in one row of each shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            shard, level = held[0][:2]
-            keys = [unpack_sorted(h[3]) for h in held]
+            keys = [unpack_sorted(h[2]) for h in held]
             sizes = np.cumsum([0, *map(len, keys)]).tolist()
             distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.zeros(len(distinct), np.int64)
             for h, a, b in zip(held, sizes, sizes[1:]):
-                total[back[a:b]] += unpack(h[4]).astype(np.int64)
+                total[back[a:b]] += unpack(h[3]).astype(np.int64)
             seen = int(np.count_nonzero(total))
             for k, (h, a, b) in enumerate(zip(held, sizes, sizes[1:])):
-                yield _batch([(h[2], level, shard, pack(total[back[a:b]]), 0 if k else seen)], ("block", "level", "shard", "counts", "seen"), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))
+                yield _batch([(h[1], level, h[0], pack(total[back[a:b]]), 0 if k else seen)], ("block", "level", "shard", "counts", "seen"), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))
 
         held: list[tuple] = []
-        for row in _columns(batches, "shard", "level", "block", "keys", "counts"):
-            if held and held[0][:2] != row[:2]:
+        for row in _columns(batches, "shard", "block", "keys", "counts"):
+            if held and held[0][0] != row[0]:
                 yield from close(held)
                 held = []
             held.append(row)
         yield from close(held)
 
-    dealt = asked.repartition("shard").sortWithinPartitions("shard", "level", "block")
+    dealt = asked.repartition("shard").sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(rows, "block long, level int, shard long, counts binary, seen long")
 
 
@@ -243,15 +240,16 @@ def scores(docs: DataFrame, train: Column | None = None, block: int = BLOCK, sha
     spark = docs.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else F.coalesce(train, F.lit(False))
     blocks = saved(token_blocks(docs, train, block), "lm-blocks")
-    n_docs, n_tokens, grams = (x or 0 for x in blocks.agg(F.sum("train_docs"), F.sum("train_tokens"), F.sum("grams")).first())
-    told = saved(answers(requests(blocks, max(1, -(-grams // shard)))), "lm-counts")
-    n_words = told.where("level = 1").agg(F.sum("seen")).first()[0] or 0
+    n_docs, n_tokens, tokens = (x or 0 for x in blocks.agg(F.sum("train_docs"), F.sum("train_tokens"), F.sum("tokens")).first())
+    # one level at a time, the largest first, so that what has been shuffled for one is gone before the texts are
+    told = {level: saved(answers(requests(blocks, level, max(1, -(-tokens // shard))), level), f"lm-counts-{level}") for level in (3, 2, 1)}
+    n_words = told[1].agg(F.sum("seen")).first()[0] or 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(held: Block | None, counts: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        def close(held: Block | None, sent: dict[int, list]) -> Iterator[pa.RecordBatch]:
             if held is None:
                 return
-            known, base, score = block_scores(held, {k: np.concatenate(v) for k, v in counts.items()}, n_docs, n_tokens, n_words)
+            known, base, score = block_scores(held, {k: np.concatenate(v) for k, v in sent.items()}, n_docs, n_tokens, n_words)
             columns = [pa.array(held.ids, mask=held.nulls), ~held.train, held.lengths, known, np.full(len(known), n_tokens, np.int64), base, score]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -264,6 +262,8 @@ def scores(docs: DataFrame, train: Column | None = None, block: int = BLOCK, sha
                 counts.setdefault(level, []).append(unpack(parts[0]).astype(np.int64))
         yield from close(held, counts)
 
-    both = blocks.select("block", F.lit(0).alias("level"), F.lit(0).cast("long").alias("shard"), "parts").unionByName(told.select("block", "level", "shard", F.array("counts").alias("parts")))
+    both = blocks.select("block", F.lit(0).alias("level"), F.lit(0).cast("long").alias("shard"), "parts")
+    for counts in told.values():
+        both = both.unionByName(counts.select("block", "level", "shard", F.array("counts").alias("parts")))
     met = both.repartition("block").sortWithinPartitions("block", "level", "shard")
     return small_batches(met).mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
