@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -228,6 +229,54 @@ def test_maxscore_edge_rows(spark):
     s = 256 * 256 + 128 * 128
     assert got == [(0, 1, 1, s), (0, 2, 7, s), (0, 3, 7, s), (0, 4, 2, 65536), (0, 5, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0), (50, 4, 7, 0), (50, 5, 7, 0)]
     assert maxscore.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert maxscore.top_k(df, df.limit(0)).count() == maxscore.top_k(df.limit(0), df).count() == 0
+
+
+def test_maxscore_repeated_queries_and_large_components(spark):
+    """A query id that comes twice is asked once; a score beyond 63 bits is an error."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 1.0]), (3, [1.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in maxscore.top_k(df, df.where("vec_id = 0"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 3 << 16), (0, 2, 2, 2 << 16)]
+    for large in (1e30, 1e10):
+        far = df.unionByName(spark.createDataFrame([(9, [large, 0.0])], df.schema))
+        with pytest.raises(Exception, match="63 bits"):
+            maxscore.top_k(far, far.where("vec_id in (0, 9)")).collect()
+
+
+def test_maxscore_over_many_shards(spark):
+    """Vectors of several lengths in small shards; queries in small blocks; with copies."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (6, 12))
+    rows = [(i, (centres[rng.integers(0, 6)] + rng.normal(0, 0.05, 12))[: rng.choice([12, 12, 7])].tolist()) for i in range(900)]
+    rows += [(10, rows[10][1])] * 3 + [(1000 + i, rows[3][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(tuple(r) for r in maxscore.top_k(df, df.where("vec_id % 20 = 10"), block=64, size=7).collect())
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    m = np.array([v + [0] * (12 - len(v)) for _, v in q])
+    want = []
+    for own in sorted({i for i, _ in rows if i % 20 == 10}):
+        scores = m @ m[[i for i, _ in rows].index(own)]
+        best = sorted((-s, i) for s, (i, _) in zip(scores.tolist(), rows) if i != own)[:5]
+        want += [(own, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
+def test_maxscore_floors_keep_blocks_from_shards(spark):
+    """A block is not sent to shards that cannot reach its floors, and what is sent with a floor takes less work."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 200, (8, 32))
+    m = np.concatenate([c + rng.normal(0, 10, (500, 32)) for c in centres]).astype(np.int64)
+    rows = spark.createDataFrame([(i, i // 1000, v.tolist(), i // 500) for i, v in enumerate(m)], "vec_id long, part int, q array<long>, pivot int")
+    shards = maxscore.blocks(rows.coalesce(1).sortWithinPartitions("part", "pivot", "vec_id"), 500, ("pivot",)).cache()
+    asked = lambda floor: maxscore.blocks(rows.where("vec_id < 5").coalesce(1).withColumn("floor", F.lit(floor)).withColumn("home", F.lit(-1).cast("long")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)))).sortWithinPartitions("part"), 256, ("floor", "home"))
+    floor = int(np.sort(m[:5] @ m.T, axis=1)[:, -5].min())
+    assert maxscore.routed(asked(maxscore.NONE), shards, False).count() == 8
+    assert maxscore.routed(asked(floor), shards, False).count() < 4
+    shard = maxscore.Shard(np.arange(500), m[:500], 32)
+    _, _, fresh = maxscore.search(np.arange(5), m[:5], shard, 5)
+    _, _, known = maxscore.search(np.arange(5), m[:5], shard, 5, np.full(5, floor))
+    assert known.essential + known.probed < fresh.essential + fresh.probed
 
 
 def test_maxscore_query(spark):
