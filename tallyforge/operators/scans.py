@@ -131,24 +131,6 @@ def pending(photos: DataFrame, readings: DataFrame, groups: DataFrame) -> DataFr
     return unread.join(folded, F.col("lot").eqNullSafe(F.col("g_lot")) & (F.col("position") == F.col("g_position")), "left_anti")
 
 
-def walked(pages: DataFrame, limit: int = 100) -> DataFrame:
-    """(listing, page, new_lots, repeats, stop): a page walk over pages (listing, page, signature, keys: its lots' dedupe keys).
-
-    A walk ends before its first empty page and at the limit. A page whose signature came up before it is a page already
-    read: its lots count as repeats. Of each key the first page counts it as new.
-    """
-    rows = pages.where(F.col("page") <= limit)
-    ends = rows.where(F.size("keys") == 0).groupBy("listing").agg(F.min("page").alias("end")).withColumnRenamed("listing", "e_listing")
-    kept = rows.join(ends, F.col("listing").eqNullSafe(F.col("e_listing")), "left").where("end is null or page < end").drop("e_listing", "end")
-    before = F.min("page").over(Window.partitionBy("listing", "signature"))
-    marked = kept.select("listing", "page", "keys", F.coalesce((before < F.col("page")) & F.col("signature").isNotNull(), F.lit(False)).alias("seen"))
-    lots = marked.select("listing", "page", "seen", F.explode("keys").alias("key"))
-    firsts = lots.where("NOT seen").groupBy("listing", "key").agg(F.min("page").alias("page")).groupBy("listing", "page").agg(F.count(F.lit(1)).alias("new_lots")).toDF("n_listing", "n_page", "new_lots")
-    out = marked.join(firsts, F.col("listing").eqNullSafe(F.col("n_listing")) & (F.col("page") == F.col("n_page")), "left")
-    new = F.coalesce("new_lots", F.lit(0)).cast("long")
-    return out.select("listing", "page", new.alias("new_lots"), (F.size("keys") - new).alias("repeats"), F.col("seen").alias("already_read"))
-
-
 def reading_summary(objects: DataFrame) -> DataFrame:
     """(lot, photographs, objects, unpriced, identifiers) of objects (lot, position, seq, unit_retail, unit_resale, identifiers), identifiers each once without regard to case in order."""
     empty = F.expr("cast(array() as array<string>)")

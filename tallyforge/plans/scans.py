@@ -9,6 +9,7 @@ from tallyforge.functions import paging as G
 from tallyforge.functions import phrases as P
 from tallyforge.functions import urls as U
 from tallyforge.operators import scans as C
+from tallyforge.operators import walks as K
 from tallyforge.sources.bindings import ITEMS_SQL, line_items, table
 
 
@@ -139,11 +140,15 @@ _FRAMES = f"""WITH frames AS (SELECT lot_id AS lot, item_seq AS position, CASE m
 
 
 def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' orders as listing pages of a walk: pages that repeat, end and count new lots."""
-    i = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).cast("long").alias("listing"), (F.col("l_linenumber") + 4 * (F.col("l_partkey") % 3)).cast("int").alias("page"), (F.col("l_orderkey") % 997).cast("string").alias("key"))
+    """Suppliers' orders as listing pages of a walk: pages that repeat, are missing, empty or clicked on from, and lots that come again."""
+    n = F.col("l_suppkey") % 20
+    i = table(spark, sf_dir, "lineitem").select(n.cast("long").alias("listing"), (F.col("l_linenumber") + 4 * (F.col("l_partkey") % 3)).cast("int").alias("page"), (F.col("l_orderkey") % 997).cast("string").alias("key"))
     p = i.groupBy("listing", "page").agg(F.collect_set("key").alias("keys"))
-    keys = F.when((F.col("listing") % 3 == 0) & (F.col("page") == 6), F.array().cast("array<string>")).otherwise(F.col("keys"))
-    return C.walked(p.select("listing", "page", (F.col("page") % 5).cast("string").alias("signature"), keys.alias("keys")), limit=9)
+    listing, page = F.col("listing"), F.col("page")
+    p = p.where(~((listing % 7 == 3) & (page == 5)) & ~((listing % 19 == 4) & (page == 1)))
+    keys = F.when((listing % 3 == 0) & (page == 6) | (listing == 8) & (page == 1), F.array().cast("array<string>")).when((listing == 5) & (page == 4), F.lit(None)).otherwise(F.col("keys"))
+    told = p.select("listing", "page", F.when(listing % 2 == 0, page % 5).otherwise(page).cast("string").alias("signature"), keys.alias("keys"), (listing % 4 == 0).alias("clicks"))
+    return K.walked(told, limit=9)
 
 
 def lot_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,12 +210,21 @@ ORACLE_SQL = {
     "repeated_frames": _FRAMES.format(limit=5) + " SELECT * FROM said",
     "frame_folds": _FRAMES.format(limit=1000)
     + ", f AS (SELECT lot, reason, min(position) AS first, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS frames FROM said WHERE reason IS NOT NULL GROUP BY lot, reason) SELECT lot, CAST(row_number() OVER (PARTITION BY lot ORDER BY first) AS INTEGER) AS place, reason, frames FROM f",
-    "page_walk": """WITH i AS (SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS listing, CAST(l_linenumber + 4 * (l_partkey % 3) AS INTEGER) AS page, CAST(l_orderkey % 997 AS VARCHAR) AS key FROM lineitem),
-        k AS (SELECT * FROM i WHERE page <= 9 AND (listing % 3 <> 0 OR page < 6)), s AS (SELECT DISTINCT listing, page FROM k),
-        seen AS (SELECT listing, page, min(page) OVER (PARTITION BY listing, page % 5) < page AS already_read FROM s),
-        firsts AS (SELECT listing, page, count(*) AS n FROM (SELECT listing, key, min(page) AS page FROM k JOIN seen USING (listing, page) WHERE NOT already_read GROUP BY 1, 2) GROUP BY 1, 2),
-        sizes AS (SELECT listing, page, count(*) AS n FROM k GROUP BY 1, 2)
-        SELECT listing, page, coalesce(f.n, 0) AS new_lots, z.n - coalesce(f.n, 0) AS repeats, already_read FROM seen JOIN sizes z USING (listing, page) LEFT JOIN firsts f USING (listing, page)""",
+    # one page after another: what is known so far is carried along as lists
+    "page_walk": """WITH RECURSIVE i AS (SELECT CAST(l_suppkey % 20 AS BIGINT) AS listing, CAST(l_linenumber + 4 * (l_partkey % 3) AS INTEGER) AS page, list(DISTINCT CAST(l_orderkey % 997 AS VARCHAR)) AS keys FROM lineitem GROUP BY 1, 2),
+        p AS (SELECT listing, page, CASE WHEN listing % 3 = 0 AND page = 6 OR listing = 8 AND page = 1 THEN [] WHEN listing = 5 AND page = 4 THEN NULL ELSE keys END AS keys, CASE WHEN listing % 2 = 0 THEN page % 5 ELSE page END AS signature
+              FROM i WHERE NOT (listing % 7 = 3 AND page = 5) AND NOT (listing % 19 = 4 AND page = 1)),
+        walk AS (
+            SELECT listing, 0 AS page, CAST(0 AS BIGINT) AS cards, CAST(0 AS BIGINT) AS new_lots, CAST([] AS VARCHAR[]) AS known, CAST([] AS BIGINT[]) AS prints, false AS already_read, CAST(NULL AS VARCHAR) AS stop FROM (SELECT DISTINCT listing FROM p WHERE page <= 9)
+            UNION ALL
+            SELECT w.listing, w.page + 1, coalesce(len(p.keys), 0), coalesce(len(list_filter(p.keys, lambda k: NOT list_contains(w.known, k))), 0), list_distinct(list_concat(w.known, coalesce(p.keys, []))), list_append(w.prints, CAST(p.signature AS BIGINT)),
+                   coalesce(len(p.keys) > 0 AND list_contains(w.prints, p.signature), false),
+                   CASE WHEN p.keys IS NULL THEN CASE WHEN w.page = 0 THEN 'no lots found' ELSE 'no such page' END
+                        WHEN len(p.keys) = 0 THEN CASE WHEN w.page = 0 THEN 'no active lots' ELSE 'no more lots' END
+                        WHEN list_contains(w.prints, p.signature) AND w.listing % 4 <> 0 THEN 'page already read' WHEN w.page = 8 THEN 'page limit' END
+            FROM walk w LEFT JOIN p ON p.listing = w.listing AND p.page = w.page + 1 WHERE w.stop IS NULL
+        )
+        SELECT listing, page, cards, new_lots, cards - new_lots AS repeats, already_read, stop FROM walk WHERE page > 0""",
     "lot_routes": f"""WITH o AS (SELECT lot_id AS lot, {_picked("part_id", "single", "thorough", "two pass", "manifest")} AS route, CASE WHEN quantity > 25 THEN item_seq ELSE 0 END AS items FROM ({ITEMS_SQL})),
         r AS (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY items = 0, CASE route WHEN 'manifest' THEN 0 WHEN 'thorough' THEN 1 WHEN 'two pass' THEN 2 ELSE 3 END, items) AS n FROM o)
         SELECT lot, CASE WHEN items > 0 THEN route ELSE 'none' END AS route, items FROM r WHERE n = 1""",

@@ -138,8 +138,6 @@ def test_scan_operators_on_edge_rows(spark):
     assert got == {1: ("malformed", None), 2: ("blocked", None), 3: ("http", 300), 4: ("no_content", None), 5: ("malformed", None), 6: ("http", 10)}
     routes = spark.createDataFrame([("a", "single", 3), ("a", "thorough", 2), ("b", "manifest", 0)], "lot string, route string, items int")
     assert sorted(tuple(r) for r in C.chosen_route(routes).collect()) == [("a", "thorough", 2), ("b", "none", 0)]
-    walk = spark.createDataFrame([("l", 1, "s1", ["a", "b"]), ("l", 2, "s2", ["b", "c"]), ("l", 3, "s2", ["d"]), ("l", 4, "s3", []), ("l", 5, "s4", ["e"])], "listing string, page int, signature string, keys array<string>")
-    assert sorted(tuple(r) for r in C.walked(walk).collect()) == [("l", 1, 2, 0, False), ("l", 2, 1, 1, False), ("l", 3, 0, 1, True)]
 
 
 def test_more_rows_and_addresses(spark):
