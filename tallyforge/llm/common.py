@@ -31,6 +31,14 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """name, or name with underscores, as no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most max_bytes of text, one row at least, so that memory does not follow the batch."""
     import numpy as np
@@ -49,8 +57,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = BATC
 
 
 #: Bytes of input (as stored) for each bucket that a task gathers whole; buckets of a shuffle partition at least and at most.
-BUCKET_BYTES = 4 << 20
-BUCKETS = (8, 1024)
+BUCKET_BYTES = 2 << 20
+BUCKETS = (1, 1024)
 
 
 def bucketed(rows: DataFrame) -> tuple[int, int]:
