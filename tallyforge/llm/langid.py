@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.common import slices, small_batches, utf8_bytes
 from tallyforge.llm.shingles import U64, mixed
@@ -157,15 +158,15 @@ def lettered(column: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return out
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred and score of each row of docs (text), after the columns to keep (doc_id, if none are named)."""
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Language and score of each row of docs (text), by names that keep does not have, after the columns to keep (doc_id, if none are named)."""
     keep = ["doc_id"] if keep is None else keep
-    rows = small_batches(docs).select(*keep) if "text" in keep else docs.select(*keep, "text")
+    rows = small_batches(docs).select(*(F.col(f"`{c}`") for c in (keep if "text" in keep else [*keep, "text"])))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
+        known = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in slices(batches, "text"):
             text = batch.column("text")
             raw, offsets = utf8_bytes(text)
@@ -178,8 +179,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 score = np.where(total > 0, points.max(axis=1) / np.where(total > 0, total, 1), 0.0)
             silent = ~lettered(text, raw, offsets)
             best[silent], score[silent] = -1, 0.0
-            columns = [batch.column(c) for c in keep] + [pa.array(names[best], pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            columns = [batch.column(c) for c in keep] + [pa.array(known[best], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    fields = [f for f in rows.schema if f.name in keep]
+    return rows.mapInArrow(predict, T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))

@@ -172,10 +172,10 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
     """docs, with its own columns, its secrets masked; n_chars, if there, is that of the new text."""
     ledger.enter(ledger.update(docs.select(F.col("doc_id").alias("path"), "text")))
-    found = ledger.unique_findings().select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
-    joined = docs.join(found.hint("shuffle_hash"), address(docs["text"]) == F.col("found_blob"), "left")
-    masked = F.when(F.col("found_spans").isNull(), docs["text"]).otherwise(redacted(docs["text"], F.col("found_spans")))
+    joined = docs.alias("d").join(ledger.unique_findings().alias("f").hint("shuffle_hash"), address(F.col("d.text")) == F.col("f.blob"), "left")
+    text, spans = F.col("d.text"), F.col("f.spans")
+    masked = F.when(spans.isNull(), text).otherwise(redacted(text, spans))
     changed = {"text": masked}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("found_spans").isNull(), docs["n_chars"]).otherwise(F.length(masked)).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))
+        changed["n_chars"] = F.when(spans.isNull(), F.col("d.n_chars")).otherwise(F.length(masked)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

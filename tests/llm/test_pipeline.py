@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_jaccard_join import brute
 from test_language_and_leaks import brute_leaks
 
@@ -48,4 +49,17 @@ def test_stages_match_brute_force(spark):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns that are named like the stages' own come through all stages but the last."""
+    names = ["lang_pred", "score", "lang_pred_", "blob", "spans", "found_blob", "found_spans", "rules", "path", "kept_id", "n_shingles", "component_id", "node", "root", "item_id"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = {r.doc_id: tuple(r) for r in corpus_pipeline.run_stages(spark, docs, SF, 4).collect()}
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    rows = corpus_pipeline.run_stages(spark, wide, SF, 4)
+    assert rows.columns == [*docs.columns, *names]
+    got = {r.doc_id: tuple(r) for r in rows.collect()}
+    assert {i: r[: len(docs.columns)] for i, r in got.items()} == plain
+    assert all(r[len(docs.columns) :] == tuple(range(len(names))) for r in got.values()) and len(plain) > 50
