@@ -3,7 +3,8 @@
 Dated list changes (add or remove of a value on a day) become validity intervals. Each capture gives its keys (its host,
 every domain above it, the path prefixes as deep as any entry) and an as-of join finds the entries of those keys that
 were valid at the capture's time. Key and time bucket are joined for equality, so a host with a third of all captures
-spreads over its buckets, and few intervals meet a capture. The most specific entry decides: a longer prefix, then the
+spreads over its buckets, and few intervals meet a capture. Before that a capture drops the keys that no entry has, by a
+table of the entries' key hashes of at most SLOTS rows, so that a top-level domain without an entry is never sent. The most specific entry decides: a longer prefix, then the
 host, then a longer domain; at the same place, allow before block.
 
 A null or relative URL has no host, matches nothing and is allowed; a null time matches nothing; repeated captures each
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_DAYS = 28
+SLOTS = 1 << 20  # hashes of keys, which bounds what is broadcast
 #: What an entry's kind adds to its specificity.
 KIND_RANK = {"domain": 0, "host": 1, "prefix": 2}
 
@@ -64,6 +66,9 @@ def judge(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", url_
     asked = rows.where("host is not null and fetched_on is not null").select(
         "page_id", "url", "fetched_on", F.explode(keys_of(F.col("host"), path_of(F.col("url")), depth)).alias("key"), number.alias("bucket")
     )
+    slot = lambda kind, value: F.pmod(F.xxhash64(kind, value), F.lit(SLOTS))
+    listed = valid.select(slot("kind", "value").alias("slot")).distinct()
+    asked = asked.withColumn("slot", slot("key.kind", "key.value")).join(F.broadcast(listed), "slot", "left_semi")
     asked = asked.select("page_id", "url", "fetched_on", "bucket", F.col("key.kind").alias("kind"), F.col("key.value").alias("value"))
     since, until = F.greatest("since", F.lit(low)), F.least(F.coalesce(F.date_sub("until", 1), F.lit(high)), F.lit(high))
     span = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / BUCKET_DAYS)
