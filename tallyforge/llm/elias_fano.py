@@ -8,8 +8,20 @@ import tempfile
 import numpy as np
 
 U64 = np.uint64
-EVERY = 64  # ones or zeros between two kept positions
-HALVES = tuple((U64(w), U64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1))
+EVERY = 32  # ones or zeros between two kept positions
+PAIRS, QUADS, NIBBLES, ONES, TOPS = (U64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+#: The place of the k-th one of a byte, by 8 * byte + k.
+IN_BYTE = np.array([[*(i for i in range(8) if b >> i & 1), *[0] * 8][:8] for b in range(256)], dtype=np.uint8).ravel()
+
+
+def place_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one of each word, which has as many."""
+    s = word - ((word >> U64(1)) & PAIRS)
+    s = (s & QUADS) + ((s >> U64(2)) & QUADS)
+    s = ((s + (s >> U64(4))) & NIBBLES) * ONES  # byte i: ones in bytes 0 to i
+    byte = np.bitwise_count(((k * ONES | TOPS) - s) & TOPS).astype(U64) << U64(3)  # bytes whose ones all come before, times 8
+    rest = k - ((s << U64(8)) >> byte & U64(0xFF))
+    return (byte + IN_BYTE[((word >> byte & U64(0xFF)) << U64(3)) + rest]).astype(np.int64)
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -40,7 +52,7 @@ class EliasFano:
         """The position of the k-th one or zero of the high bits."""
         flip = U64(0) if one else ~U64(0)
         at = (self.ones if one else self.zeros)[k // EVERY].astype(np.int64)
-        word, rest = at >> 6, k % EVERY
+        word, rest = at >> 6, (k % EVERY).astype(U64)
         left = (self.high[word] ^ flip) & (~U64(0) << (at & 63).astype(U64))
         have = np.bitwise_count(left)
         open_ = np.flatnonzero(have <= rest)
@@ -50,14 +62,7 @@ class EliasFano:
             left[open_] = self.high[word[open_]] ^ flip
             have[open_] = np.bitwise_count(left[open_])
             open_ = open_[have[open_] <= rest[open_]]
-        place = word << 6
-        for half, mask in HALVES:
-            count = np.bitwise_count(left & mask)
-            on = rest >= count
-            rest -= np.where(on, count, 0)
-            left = np.where(on, left >> half, left)
-            place += np.where(on, int(half), 0)
-        return place
+        return (word << 6) + place_in_word(left, rest)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -76,8 +81,13 @@ class EliasFano:
         """The place of each value, -1 where it does not occur: the first successor of its low bits in the bucket of its high bits."""
         values = values.astype(U64)
         high, low = (values >> U64(self.width)).astype(np.int64), values & U64((1 << self.width) - 1)
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
-        end = self._select(high, False) - high
+        bit = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        zeros = ~self.high[bit >> 6] >> (bit & 63).astype(U64)  # the bucket's ones are the ones from here to the next zero
+        size = np.bitwise_count((zeros & (~zeros + U64(1))) - U64(1)).astype(np.int64)
+        first = bit - high
+        end = first + size
+        over = np.flatnonzero(zeros == 0)  # none in this word
+        end[over] = self._select(high[over], False) - high[over]
         stop = end.copy()
         open_ = np.flatnonzero(first < stop)
         while len(open_):

@@ -38,7 +38,7 @@ SHARD = 1 << 22  # n-grams of a level that a shard is sent at most, about
 K2, K3 = 8.0, 4.0
 STEP = 1 / 4096
 END = U64(0x5851F42D4C957F2D)  # stands for the end of a text, which is no word
-CHUNK = 1 << 16  # tokens scored at a time
+CHUNK = 1 << 15  # tokens scored at a time
 
 
 def held_out(doc_id: Column) -> Column:
@@ -96,8 +96,8 @@ class Block:
         self.before2 = np.roll(self.before, 1)
         self.before2[self.starts] = -1  # no pair stands before the first token
 
-    def grams(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct hashes, training count in the block, a token that ends it) of the level's n-grams."""
+    def grams(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct hashes, training count in the block, a token that ends it, which of them each token ends) of the level's n-grams."""
         hashes = np.append(self.words, U64(0x2545F4914F6CDD1D))  # the last one: the start of a text
         at = np.arange(len(self.token)) if level < 3 else np.flatnonzero(self.before2 >= 0)
         key = mixed(hashes[self.token[at]] ^ U64(level))
@@ -106,10 +106,10 @@ class Block:
         if level > 2:
             key = mixed(key * BASE + hashes[self.before2[at]])
         if not len(at):
-            return key, np.zeros(0, np.int64), at
+            return key, np.zeros(0, np.int64), at, at
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         learned = np.repeat(self.train, self.lengths)[at]
-        return distinct, np.bincount(back[learned], minlength=len(distinct)), at[first]
+        return distinct, np.bincount(back[learned], minlength=len(distinct)), at[first], back
 
 
 def requests(blocks: DataFrame, level: int, shards: int) -> DataFrame:
@@ -117,7 +117,7 @@ def requests(blocks: DataFrame, level: int, shards: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts in _columns(batches, "block", "parts"):
-            keys, counts, _ = Block(parts).grams(level)
+            keys, counts, _, _ = Block(parts).grams(level)
             shard = ((keys >> U64(32)) * U64(shards)) >> U64(32)
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
             spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
@@ -176,25 +176,27 @@ def quantised(log10: np.ndarray) -> np.ndarray:
 class Trie:
     """Seen words, pairs and triples with probabilities and back-offs.
 
-    base: log10 P of each word; of_word: how often a word (the last one: the start) is a context. Pairs (first, second) and
-    triples (first, second, third) are places of words; the counts are the corpus' and positive.
+    base: log10 P of each word; of_word: how often a word (the last one: the start) is a context. Pairs are places of words
+    (first, second), triples places of pairs (the first two words, the last two); the counts are the corpus' and positive.
     """
 
     def __init__(self, base: np.ndarray, of_word: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
         n = len(base)
         self.n, self.base = n, base
-        order = np.lexsort((pairs[1], pairs[0]))
-        (first, second), count = pairs[:, order], pair_counts[order]
+        key = pairs[0] * n + pairs[1]
+        order = np.argsort(key)
+        (first, second), count, key = pairs[:, order], pair_counts[order], key[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        node, lower = place[triples]
         pointer = np.searchsorted(first, np.arange(n + 2))
         context, p1 = of_word[first], 10.0 ** base[second]
         p2 = (count + K2 * p1) / (context + K2)
-        successors = EliasFano.of(first * n + second, (n + 1) * n)
+        successors = EliasFano.of(key, (n + 1) * n)
         # a pair's third words are places among the second word's successors; bases keep them apart and monotone
         width = np.diff(pointer)[second]
         bases = np.concatenate(([0], np.cumsum(width)))
-        node = successors.find(triples[0] * n + triples[1])
-        lower = successors.find(triples[1] * n + triples[2])
-        value = bases[node] + lower - pointer[triples[1]]
+        value = bases[node] + lower - pointer[second[node]]
         order = np.argsort(value, kind="stable")
         p3 = (triple_counts + K3 * p2[lower]) / (count[node] + K3)
         levels = [successors, EliasFano.of(pointer, len(first) + 1), EliasFano.of(bases, int(bases[-1]) + 1), EliasFano.of(value[order], int(bases[-1]) + 1)]
@@ -203,14 +205,16 @@ class Trie:
         self.successors, self.pointer, self.bases, self.thirds = (EliasFano(*self.arrays[4 * k : 4 * k + 4], level.n, level.width) for k, level in enumerate(levels))
         self.back2, self.p2, self.back3, self.p3 = self.arrays[16:]
 
-    def score(self, token: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the two before it (before2 -1: none, before n: the start of a text)."""
-        pair = self.successors.find(before * self.n + token)
+    def pairs(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The place of each token below the one before it (n: the start of a text), -1 where the pair was not seen."""
+        return self.successors.find(before * self.n + token)
+
+    def score(self, token: np.ndarray, before: np.ndarray, pair: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """log10 P of each token; pair: its place below the one before, node: the place of the pair before it, -1 where there is none or it was not seen."""
         out = np.where(pair >= 0, -STEP * self.p2[pair], self.base[token] - STEP * self.back2[before])
-        at = np.flatnonzero(before2 >= 0)
-        node = self.successors.find(before2[at] * self.n + before[at])
-        at, node = at[node >= 0], node[node >= 0]
-        lower, found = pair[at], np.full(len(at), -1, np.int64)
+        at = np.flatnonzero(node >= 0)
+        node, lower = node[at], pair[at]
+        found = np.full(len(at), -1, np.int64)
         known = np.flatnonzero(lower >= 0)
         found[known] = self.thirds.find(self.bases[node[known]] + lower[known] - self.pointer[before[at[known]]])
         out[at] = np.where(found >= 0, -STEP * self.p3[found], out[at] - STEP * self.back3[node])
@@ -219,18 +223,23 @@ class Trie:
 
 def block_scores(block: Block, counts: dict[int, np.ndarray], docs: int, tokens: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base score, score) of each document; docs, tokens and words: of the training documents."""
-    hashes, _, ends = block.grams(1)
+    hashes, _, ends, _ = block.grams(1)
     count = np.zeros(len(hashes), np.int64)
     count[block.token[ends]] = counts.get(1, count[:0])
     base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
-    _, _, ends2 = block.grams(2)
-    _, _, ends3 = block.grams(3)
+    _, _, ends2, pair_of = block.grams(2)
+    _, _, ends3, _ = block.grams(3)
     c2, c3 = counts[2], counts.get(3, np.zeros(0, np.int64))
-    seen2, seen3 = ends2[c2 > 0], ends3[c3 > 0]
-    pairs = np.stack((block.before[seen2], block.token[seen2]))
-    triples = np.stack((block.before2[seen3], block.before[seen3], block.token[seen3]))
-    trie = Trie(base, np.append(count, docs), pairs, c2[c2 > 0], triples, c3[c3 > 0])
-    each = np.concatenate([trie.score(*(x[a : a + CHUNK] for x in (block.token, block.before, block.before2))) for a in range(0, len(block.token), CHUNK)])
+    seen, ends3 = np.flatnonzero(c2 > 0), ends3[c3 > 0]
+    place = np.zeros(len(c2), np.int64)
+    place[seen] = np.arange(len(seen))
+    pairs = np.stack((block.before[ends2[seen]], block.token[ends2[seen]]))
+    triples = place[np.stack((pair_of[ends3 - 1], pair_of[ends3]))]
+    trie = Trie(base, np.append(count, docs), pairs, c2[seen], triples, c3[c3 > 0])
+    spans = [slice(a, a + CHUNK) for a in range(0, len(block.token), CHUNK)]
+    pair = np.concatenate([trie.pairs(block.token[s], block.before[s]) for s in spans])
+    node = np.where(block.before2 >= 0, np.roll(pair, 1), -1)
+    each = np.concatenate([trie.score(block.token[s], block.before[s], pair[s], node[s]) for s in spans])
     sums = lambda x: np.add.reduceat(x, block.starts)
     return sums((count > 0)[block.token].astype(np.int64)), sums(base[block.token]), sums(each)
 
