@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,39 @@ def page_lot_number(text: Column) -> Column:
     return F.when(word.isin(*WRAPPERS), F.regexp_extract(out, r"(\d{1,12})$", 1)).otherwise(out)
 
 
+#: A number after a label on a card, words that are none, a label in front of one, a bid in a card's words.
+NUMBER_WORDS = r"(?i)(?:lot|item|pallet|sku|auction)\s*#?\s*:?\s*([A-Za-z0-9][A-Za-z0-9\-_.]{1,23})"
+NO_NUMBER = r"(?i)^(?:no|num|number|id|code|ref|lot|item|sku|pallet|auction|product|listing)$"
+NUMBER_LABEL = r"(?i)^(?:no|num|number|lot|item|sku|pallet|auction|product|listing|id|code|ref)\b[\s:#\-_.]*"
+BID_WORDS = r"(?i)(?:current\s*bid|high\s*bid|current\s*price|bid|price)\s*:?\s*[$€£]?\s*[\d.,]+"
+
+
+def wrapped_digits(text: Column) -> Column:
+    """The digits (12 at most) of a text that is a known word and digits; null for anything else."""
+    bare = F.trim(text)
+    word = F.lower(F.regexp_extract(bare, r"^([A-Za-z]{1,24})[\s\-_.]*\d{1,12}$", 1))
+    return F.when(word.isin(*WRAPPERS), F.regexp_extract(bare, r"(\d{1,12})$", 1))
+
+
+def is_wrapped_id(text: str) -> bool:
+    """Whether wrapped_digits() finds any, of a text at hand."""
+    found = re.fullmatch(r"([A-Za-z]{1,24})[\s\-_.]*(\d{1,12})", text.strip(), re.ASCII)
+    return found is not None and found[1].lower() in WRAPPERS
+
+
+def read_number(printed: Column, words: Column) -> Column:
+    """A card's number: what follows a label in what it prints, else that without labels (three at most) and wrapper, else what follows a label in its words; empty if there is none."""
+    labelled = lambda x: F.regexp_extract(x, NUMBER_WORDS, 1)
+    fine = lambda x: (x != "") & ~x.rlike(NO_NUMBER)
+    raw = condensed(printed)
+    bare = raw
+    for _ in range(3):
+        bare = F.regexp_replace(bare, NUMBER_LABEL, "")
+    candidate = F.when(fine(labelled(raw)), labelled(raw)).otherwise(F.regexp_replace(bare, "^[^A-Za-z0-9]+", ""))
+    candidate = F.substring(F.coalesce(wrapped_digits(candidate), candidate), 1, 40)
+    return F.when(candidate != "", candidate).when(fine(labelled(words)), labelled(words)).otherwise("")
+
+
 def fnv32(text: Column) -> Column:
     """The 32-bit FNV-1a hash of a text's UTF-16 units."""
     units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))

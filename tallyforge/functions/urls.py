@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,28 +55,76 @@ def page_address(url: Column, page: Column) -> Column:
     return F.concat(F.when(page_parameter(url).isNotNull(), replaced).otherwise(F.concat(base, gap, F.lit("page="), number)), fragment)
 
 
+#: Addresses that are no page of the web, files that no browser shows as a page, and images.
+NO_PAGE = r"(?i)^(?:#|javascript:|mailto:|tel:|data:|blob:)"
+ASSET = r"(?i)\.(?:jpe?g|png|gif|webp|heic|avif|bmp|svg|ico|css|js|mjs|json|xml|pdf|zip|mp4|webm|mp3|wav|ogg|woff2?)(?:$|[?#])"
+IMAGE = r"(?i)\.(?:jpe?g|png|gif|webp|heic|avif|bmp|tiff?)(?:$|[?#])"
+SCRIPT_IMAGE = r"(?i)[\"'](https?://[^\"'\s\\]+\.(?:jpe?g|png|webp|heic|gif)(?:\?[^\"'\s\\]*)?)[\"']"
+
+
+def is_page_link(href: Column) -> Column:
+    """Whether a link may lead to a lot's page: no jump, handler, file or furniture of the site."""
+    raw = F.trim(href)
+    return (raw != "") & ~raw.rlike(NO_PAGE) & ~raw.rlike(ASSET) & ~raw.rlike(T.NON_LOT_HREF)
+
+
+def is_image_address(href: str) -> bool:
+    """Whether a printed link is an image itself."""
+    return re.search(IMAGE, href) is not None
+
+
+def style_address(style: str) -> str:
+    """The address that a style attribute paints with; empty if there is none."""
+    found = re.search(r"(?i)url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", style)
+    return found[1] if found else ""
+
+
+def carried(number: Column) -> Column:
+    """A lot number as addresses carry it: letters and digits in lower case."""
+    return F.lower(F.regexp_replace(number, "[^0-9a-zA-Z]", ""))
+
+
+def address_tokens(url: Column) -> Column:
+    """The runs of letters and digits of an address, in lower case."""
+    return F.filter(F.split(F.lower(url), "[^0-9a-z]+"), lambda t: t != "")
+
+
 def carries_number(url: Column, number: Column) -> Column:
-    """Whether one of the address's tokens is the number, or holds it (5 digits or more) with no other digit."""
-    value = F.lower(number)
-    tokens = F.split(F.lower(url), "[^0-9a-z]+")
+    """Whether one of the address's tokens is the number (3 characters or more), or holds it (5 or more) with no other digit."""
+    value = carried(number)
+    tokens = address_tokens(url)
     same = F.exists(tokens, lambda t: t == value)
-    inside = F.exists(tokens, lambda t: F.contains(t, value) & ~F.replace(t, value, F.lit("")).rlike(r"\d"))
+    inside = F.exists(tokens, lambda t: F.contains(t, value) & ~_once(t, value).rlike(r"[0-9]"))
     return (F.length(value) >= 3) & (same | ((F.length(value) >= 5) & inside))
 
 
+def _once(text: Column, part: Column) -> Column:
+    """text without the first occurrence of part."""
+    at = F.instr(text, part)
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(part), F.length(text)))).otherwise(text)
+
+
+def srcset_weight(descriptor: Column) -> Column:
+    """How wide a candidate is: `640w`; density counts a thousand, none 100."""
+    width, density = F.regexp_extract(descriptor, r"^(\d+)w$", 1).try_cast("double"), F.regexp_extract(descriptor, r"^(\d+(?:\.\d+)?)x$", 1).try_cast("double")
+    return F.coalesce(width, density * 1000, F.lit(100.0))
+
+
 def best_of_srcset(srcset: Column) -> Column:
-    """The candidate of greatest width (density counts a thousand, none 100); the first of equals."""
-    parts = F.filter(F.transform(F.split(srcset, r",\s+|,(?=https?:)"), T.condensed), lambda p: p != "")
-    scored = F.transform(parts, lambda p: F.struct(
-        F.coalesce(F.regexp_extract(p, r" (\d+(?:\.\d+)?)w$", 1).try_cast("double"), F.regexp_extract(p, r" (\d+(?:\.\d+)?)x$", 1).try_cast("double") * 1000, F.lit(100.0)).alias("score"),
-        F.substring_index(p, " ", 1).alias("url"),
-    ))
-    best = F.aggregate(scored, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("url")), lambda a, p: F.when(p["score"] > a["score"], p).otherwise(a))
-    return F.nullif(best["url"], F.lit(""))
+    """The candidate of greatest weight; the first of equals, null without any."""
+    parts = F.filter(F.transform(F.split(srcset, ","), T.condensed), lambda p: p != "")
+    scored = F.transform(parts, lambda p, k: F.struct((-srcset_weight(F.regexp_extract(p, r"^\S+ (\S+)", 1))).alias("w"), k.alias("k"), F.substring_index(p, " ", 1).alias("url")))
+    return F.get(F.array_sort(scored), F.lit(0))["url"]
+
+
+def script_images(text: Column) -> Column:
+    """Quoted whole addresses of images in a script, in order."""
+    return F.regexp_extract_all(text, F.lit(SCRIPT_IMAGE), F.lit(1))
 
 
 def image_folder(url: Column) -> Column:
-    return F.regexp_extract(url, r"^(.*)/", 1)
+    """What stands before an address's last slash, in lower case."""
+    return F.lower(F.regexp_extract(F.regexp_extract(url, r"^([^?#]*)", 1), r"^(.+)/", 1))
 
 
 def image_mime(declared: Column, url: Column) -> Column:
