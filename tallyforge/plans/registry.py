@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import addresses, answers, boards, listings, progress, routes, scans, sequences
+from tallyforge.plans import addresses, answers, boards, listings, progress, routes, scans, sequences, states
 
-MODULES = (boards, addresses, answers, listings, scans, routes, progress, sequences)
+MODULES = (boards, addresses, answers, listings, scans, routes, progress, sequences, states)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

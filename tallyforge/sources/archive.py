@@ -1,53 +1,103 @@
-"""The archive of photograph readings: a Parquet table by lot, model, version and address, newest generation wins."""
+"""The archive of photograph readings: Parquet files by a hash of the lot, of which a store rewrites only those that it touches.
+
+A numbered manifest names the files that count for every bucket; the last one counts. A store writes new files for the
+buckets of its lots, then a manifest that differs in those buckets alone, under a name that no one else can take. A store
+that breaks off before that leaves files that no manifest names, and the last generation as it was.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.sequences import upsert
+from tallyforge.scratch import saved
 
 KEY = ["lot", "model", "version", "url"]
 SCHEMA = "lot string, model string, version int, url string, position int, generation long, summary string"
+BUCKETS = 64
 
 
 class ReadingArchive:
-    """Readings below one folder, in numbered generations of the whole table; the last complete one counts."""
+    """Readings below one folder; buckets is fixed by the first store."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.buckets = (self._manifest()[1] or {"buckets": buckets})["buckets"]
+
+    def _manifest(self) -> tuple[int, dict | None]:
+        """(number, content) of the last manifest; (0, None) without any."""
+        folder = self._fs_path(f"{self.folder}/manifest")
+        if not self._fs.exists(folder):
+            return 0, None
+        numbers = [int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()]
+        if not numbers:
+            return 0, None
+        rows = self.spark.read.option("wholetext", True).text(f"{self.folder}/manifest/{max(numbers)}").collect()
+        return max(numbers), json.loads(rows[0][0])
+
+    def _commit(self, number: int, files: dict[str, str]) -> None:
+        """Makes files (bucket -> folder) the next manifest; an error if another store has been faster."""
+        target = self._fs_path(f"{self.folder}/manifest/{number}")
+        started = self._fs_path(f"{self.folder}/manifest/{uuid.uuid4().hex}.started")
+        out = self._fs.create(started, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "files": files}).encode()))
+        out.close()
+        if self._fs.exists(target) or not self._fs.rename(started, target):
+            self._fs.delete(started, False)
+            raise RuntimeError(f"another store has written generation {number}; store again")
 
-    def _generations(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n) for n in names if n.isdigit())
+    def _bucket(self, lot: Column) -> Column:
+        return F.pmod(F.xxhash64(lot), F.lit(self.buckets)).cast("int")
 
-    def _all(self) -> DataFrame:
-        have = self._generations()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
+    def _files(self, buckets: list[int] | None = None) -> DataFrame:
+        """The rows that count, of some buckets or of all."""
+        files = (self._manifest()[1] or {"files": {}})["files"]
+        paths = [path for bucket, path in files.items() if buckets is None or int(bucket) in buckets]
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.folder}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], SCHEMA)
+
+    def _rewrite(self, rows: DataFrame, touched: list[int]) -> None:
+        """rows become all that the touched buckets hold."""
+        number, last = self._manifest()
+        name = f"data/{uuid.uuid4().hex}"
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        dealt = rows.select(*names, self._bucket(F.col("lot")).alias("bucket"))
+        # a bucket is several files where it is large, as a lot's readings may be many
+        dealt.repartition("bucket", F.pmod(F.xxhash64("url"), F.lit(16))).write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        folder = self._fs_path(f"{self.folder}/{name}")
+        written = {s.getPath().getName().removeprefix("bucket=") for s in self._fs.listStatus(folder) if s.isDirectory()}
+        files = {b: p for b, p in (last or {"files": {}})["files"].items() if int(b) not in touched}
+        self._commit(number + 1, files | {b: f"{name}/bucket={b}" for b in written if b.isdigit()})
+
+    def _touched(self, lots: DataFrame) -> list[int]:
+        return [r.bucket for r in lots.select(self._bucket(F.col("lot")).alias("bucket")).distinct().collect()]  # BUCKETS rows at most
 
     def read(self, model: str | None = None, version: int = 1) -> DataFrame:
         """All readings of a version, of one model if named."""
-        rows = self._all().where(F.col("version") == version)
+        rows = self._files().where(F.col("version") == version)
         return rows if model is None else rows.where(F.col("model") == model)
 
-    def _write(self, rows: DataFrame) -> None:
-        have = self._generations()
-        rows.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.parquet(f"{self.folder}/{(have[-1] if have else 0) + 1}")
-
     def store(self, readings: DataFrame) -> None:
         """Enters readings; of a key the newest generation stays."""
-        stored = self._all()
-        self._write(upsert(stored, readings.select(*stored.columns), KEY, "generation"))
+        new = saved(readings.select(*(c.split()[0] for c in SCHEMA.split(", "))), "readings")
+        touched = self._touched(new)
+        if touched:
+            self._rewrite(upsert(self._files(touched), new, KEY, "generation"), touched)
 
     def forget(self, lots: DataFrame | None = None) -> None:
         """Drops the readings of some lots (lot), of every version, or of all."""
-        rows = self._all()
-        self._write(rows.limit(0) if lots is None else rows.join(lots.select("lot"), "lot", "left_anti"))
+        if lots is None:
+            self._commit(self._manifest()[0] + 1, {})
+            return
+        gone = saved(lots.select("lot").distinct(), "forgotten")
+        touched = self._touched(gone)
+        if touched:
+            self._rewrite(self._files(touched).join(gone, "lot", "left_anti"), touched)
 
     def stored_lots(self) -> int:
         return self.read().select("lot").distinct().count()

@@ -73,7 +73,7 @@ def test_page_signature_and_nothing_found(spark):
         return h
 
     assert mapped(spark, T.fnv32, "", "a", "Lot é 漢 𝄞 ~|,") == [fnv(""), fnv("a"), fnv("Lot é 漢 𝄞 ~|,")]
-    html = "<div class='lot'>Pallet of lamps one<img src='/a.jpg'><img src='/b.jpg'><img src='/c.jpg'></div><div class='lot'>Pallet of chairs</div>"
+    html = "<div class='lot-card'>Pallet of lamps one<img src='/a.jpg'><img src='/b.jpg'><img src='/c.jpg'></div><div class='lot-card'>Pallet of chairs</div>"
     pages = spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", "<p>No <b>lots</b> found</p>"), (3, "http://h/", "<script>'no lots found'</script>")], "page_id long, url string, html string")
     got = {r.page_id: r for r in S.profiles(pages).collect()}
     assert got[1].signature == fnv("Pallet of lamps one|http://h/a.jpg,http://h/b.jpg~Pallet of chairs|")
