@@ -114,6 +114,9 @@ _PAPER = ", ".join(f"'{w}'" for w in T.PAPERWORK)
 _HINTS = ", ".join(f"'{w}'" for w in T.HINTS)
 
 ORACLE_SQL = {
+    # the low half of the hash, byte by byte
+    "fallback_numbers": """SELECT page_id, 'AUTO-' || printf('%08X', list_reduce(list_concat([CAST(2216829733 AS BIGINT)], list_transform(range(1, length(h) + 1, 2), lambda i: CAST((instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1 AS BIGINT))),
+        lambda a, b: (xor(a, b) * 435) & 4294967295)) AS number FROM (SELECT page_id, hex(coalesce(nullif(url, ''), 'unknown-lot')) AS h FROM pages)""",
     "page_addresses": _PAGES
     + """SELECT page_id, host || path AS dedupe_key,
         list_filter(list_reverse(list_concat(string_split(path, '/'), regexp_split_to_array(query, '[&=]'))), lambda t: regexp_full_match(t, '[0-9]+'))[1] AS lot_number,

@@ -78,6 +78,13 @@ def catalogue_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.listings(catalogue(spark, sf_dir)).withColumn("images", F.array_join("images", " "))
 
 
+def catalogue_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue pages in one row each, and pages that say that they are empty."""
+    pages = catalogue(spark, sf_dir)
+    none = pages.select((-F.col("page_id") - 1).alias("page_id"), "url", F.when(F.col("page_id") % 2 == 0, "<p>Results: No Items Found.</p>").otherwise("<p>Soon</p>").alias("html"))
+    return P.profiles(pages.unionByName(none)).select("page_id", "cards", "linked", "sold", F.col("signature").isNotNull().alias("signed"), "nothing_found")
+
+
 def lot_galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as lot pages: galleries in one container or two, nested ones, photographs that only scripts or the head name."""
     k = F.col("p_partkey").cast("long")
@@ -116,7 +123,7 @@ def srcset_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (listing_cards, page_gallery, page_profiles, page_descriptions, page_numbers, catalogue_cards, lot_galleries, detail_links, srcset_choices)
+    for q in (listing_cards, page_gallery, page_profiles, page_descriptions, page_numbers, catalogue_cards, catalogue_profiles, lot_galleries, detail_links, srcset_choices)
 }
 
 _N = "CAST(p_partkey + 100000 AS VARCHAR)"
@@ -132,6 +139,10 @@ ORACLE_SQL = {
                'https://www.example.org' || CASE k % 4 WHEN 0 THEN '/catalog/item' || n WHEN 1 THEN '/lot/' || n WHEN 2 THEN '/view?x=b&id=' || n ELSE '/x/' || n || '/more' END AS detail_url,
                CASE k % 4 WHEN 0 THEN 'https://www.example.org/t/' || n || '_l.jpg' WHEN 1 THEN 'https://www.example.org/big/' || n || '.jpg' WHEN 2 THEN 'https://www.example.org/p/' || n || '-b.webp' ELSE '' END AS images
         FROM p""",
+    "catalogue_profiles": """
+        WITH p AS (SELECT CAST(p_partkey // 20 AS BIGINT) AS page_id, count(*) AS cards, count(*) FILTER (p_partkey % 4 > 0) AS linked, count(*) FILTER (p_partkey % 5 = 0) AS sold FROM part GROUP BY 1)
+        SELECT page_id, CAST(cards AS INTEGER) AS cards, CAST(linked AS INTEGER) AS linked, CAST(sold AS INTEGER) AS sold, true AS signed, false AS nothing_found FROM p
+        UNION ALL SELECT -page_id - 1, 0, 0, 0, false, page_id % 2 = 0 FROM p""",
     "lot_galleries": """
         WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS page_id, 'https://www.example.org/g/' || p_partkey AS g, 'https://www.example.org/lead/' || p_partkey || '.jpg' AS lead, p_name, p_type FROM part)
         SELECT page_id, CASE page_id % 6 WHEN 0 THEN g || '/1.jpg ' || g || '/2.jpg' WHEN 1 THEN g || '/1.jpg ' || g || '/2.jpg ' || g || '/3.jpg'
