@@ -88,7 +88,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if not languages:
         return Model([], np.zeros((0, 1 << SLOT_BITS), U64), np.zeros(0), 0)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 52)) < F.try_element_at(share, F.col("lang")) * float(1 << 52))
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
