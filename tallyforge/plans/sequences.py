@@ -143,6 +143,16 @@ def product_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("lot", "line", "name", "brand", "quantity", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"), "reason", "confidence", F.array_join("identifiers", ",").alias("identifiers"), F.array_join(F.transform("views", lambda x: x.cast("string")), ",").alias("views"), "sightings")
 
 
+def long_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items of a supplier as one lot's sightings of parts, folded without gathering the lot."""
+    part, seq = F.col("l_partkey").cast("long"), F.col("l_linenumber") * 100_000 + F.col("l_partkey") % 100_000
+    i = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 25).cast("string").alias("lot"), F.col("l_orderkey").cast("int").alias("batch"), seq.cast("int").alias("seq"), part.alias("part")).agg(F.max("l_quantity").cast("int").alias("quantity"))
+    code = F.concat(F.lit("PK"), F.lpad(F.col("part").cast("string"), 7, "0"))
+    s = i.select("lot", "batch", "seq", F.concat(F.lit("Part "), "part").alias("name"), "quantity", F.lit("High").alias("confidence"), F.when(F.col("part") % 2 == 0, F.array(code)).otherwise(F.array().cast("array<string>")).alias("identifiers"), F.array(F.lit(1)).alias("views"))
+    f = R.fold_long(s)
+    return f.select("lot", "line", "name", "quantity", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"), F.array_join("identifiers", ",").alias("identifiers"), "sightings")
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as photograph objects, merged by identifiers and names within a lot."""
     unit = lambda c: (F.col(c) / F.col("quantity")).cast("double")
@@ -174,12 +184,17 @@ QUERIES = {
     "decode_items_json": decode_items_json,
     "pre_price_answers": pre_price_answers,
     "product_fold": product_fold,
+    "long_fold": long_fold,
     "product_merge": product_merge,
     "stream_event_counts": scan_events.event_counts,
     "stream_first_events": scan_events.first_events,
 }
 
 ORACLE_SQL = {
+    # parts have nothing in common with each other, so each is one line
+    "long_fold": """WITH d AS (SELECT CAST(l_suppkey % 25 AS VARCHAR) AS lot, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, CAST(max(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY l_suppkey % 25, 2, 3, 4),
+        g AS (SELECT lot, p, min((o, n * 100000 + p % 100000)) AS first, max(q) AS quantity, count(DISTINCT q) AS k, list_sort(list(DISTINCT q)) AS qs, count(*) AS c FROM d GROUP BY lot, p)
+        SELECT lot, CAST(row_number() OVER (PARTITION BY lot ORDER BY first) - 1 AS INTEGER) AS line, 'Part ' || p AS name, quantity, CASE WHEN k > 1 THEN array_to_string(qs, ',') ELSE '' END AS counts, CASE WHEN p % 2 = 0 THEN 'PK' || lpad(CAST(p AS VARCHAR), 7, '0') ELSE '' END AS identifiers, CAST(c AS INTEGER) AS sightings FROM g""",
     "pieces_of_12": """WITH p AS (SELECT l_suppkey AS lot_id, l_orderkey, CAST((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1) // 12 AS INTEGER) AS piece FROM lineitem)
         SELECT CAST(lot_id AS BIGINT) AS lot_id, piece, count(*) AS items, min(l_orderkey) AS first_order FROM p GROUP BY ALL""",
     "prefix_budget": _PHOTOS + ", r AS (SELECT lot_id, sum(n) OVER (PARTITION BY lot_id ORDER BY p) AS used FROM photos) SELECT lot_id, count(*) AS photos, CAST(max(used) AS BIGINT) AS used FROM r WHERE used <= 60000 GROUP BY lot_id",
