@@ -33,6 +33,28 @@ def replaced_description(old: Column, found: Column) -> Column:
     return F.coalesce(F.nullif(T.condensed(_text(found)), F.lit("")), old)
 
 
+def replaced_images(old: Column, found: Column) -> Column:
+    """The photographs that a lot's page gives; the old ones where it gives none."""
+    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(old)
+
+
+def quantity_text(quantity: Column) -> Column:
+    """`12 unit(s)`; null for one or none."""
+    return F.when(quantity > 1, F.concat(_n(quantity), F.lit(" unit(s)")))
+
+
+def unit_price_phrase(quantity: Column, retail: Column, resale: Column) -> Column:
+    """`$35.00 ea retail · $18.00 ea resale`: what one of several goes for; null where nothing is known."""
+    each = lambda value, word: F.when((quantity > 1) & (value > 0), F.concat(M.currency(value / quantity), F.lit(f" ea {word}")))
+    return F.nullif(F.concat_ws(" · ", each(retail, "retail"), each(resale, "resale")), F.lit(""))
+
+
+def photo_source(photos: Column) -> Column:
+    """`photographs 3, 7`, in order; null without any."""
+    listed = F.array_join(F.transform(F.array_sort(photos), _n), ", ")
+    return F.when(F.size(photos) == 1, F.concat(F.lit("photograph "), listed)).when(F.size(photos) > 1, F.concat(F.lit("photographs "), listed))
+
+
 def without_heading(text: Column) -> Column:
     """A description without the heading in front of it."""
     bare = F.regexp_replace(_text(text), r"(?i)^(?:lot|item|auction|product)\s+description\s*[:\-–]?\s*", "")
@@ -41,12 +63,12 @@ def without_heading(text: Column) -> Column:
 
 def bid_text(card: Column) -> Column:
     """The words of a bid in a card's text; null for none."""
-    return F.nullif(F.regexp_extract(card, r"(?i)(?:current\s*bid|high\s*bid|current\s*price|bid|price)\s*:?\s*[$€£]?\s*[\d.,]+", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(card, T.BID_WORDS, 0), F.lit(""))
 
 
 def is_filler(token: Column) -> Column:
     """Whether a token stands for a number and is none."""
-    return F.lower(F.trim(token)).isin("no", "num", "number", "id", "code", "ref", "lot", "item", "sku", "pallet", "auction", "product", "listing")
+    return F.trim(token).rlike(T.NO_NUMBER)
 
 
 def is_priced(retail: Column, resale: Column) -> Column:
@@ -112,6 +134,20 @@ def error_kind(status: Column, finish: Column, text: Column) -> Column:
     )
 
 
+def failure_kind(e: Column) -> Column:
+    """The kind of failure of an appraisal (has_key, images, unavailable, status, finish, text, decodes, photographs, read, one_by_one), in the order in which it comes up; null where it did not fail.
+
+    images: usable ones, null where none are sent; unavailable: an image that could not be had; decodes: whether the
+    answer could be read; photographs and read: how many were asked for one by one and answered; one_by_one: whether the
+    provider can be asked so at all.
+    """
+    each = e["photographs"] > 0
+    return (
+        F.when(~e["has_key"], "missing_key").when(e["unavailable"].isNotNull(), "image_unavailable").when(e["images"] == 0, "no_images").when(each & ~e["one_by_one"], "scan_unsupported")
+        .when(each & (e["read"] == 0), "photographs_failed").otherwise(F.coalesce(error_kind(e["status"], e["finish"], e["text"]), F.when(~e["decodes"], "malformed")))
+    )
+
+
 def short_reason(kind: Column, status: Column) -> Column:
     words = F.create_map(*[F.lit(x) for pair in SHORT_REASONS.items() for x in pair])
     return F.when(kind == "http", F.concat(F.lit("HTTP "), _n(status))).otherwise(F.try_element_at(words, kind))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,13 +159,21 @@ HINTS = ("sku", "upc", "ean", "gtin", "isbn", "model", "mod.", "part", "p/n", "i
 _EDGE = r".,;:!?()\[\]{}<>\"'`|/\\*+~=·•$#"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once: inside a lambda no subexpression is shared by itself."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def identifier_token(raw: Column, hinted: Column) -> Column:
     """A token that looks like a catalogue identifier, in upper case; else null."""
-    token = F.regexp_replace(F.upper(F.regexp_replace(raw, f"^[{_EDGE}]+|[{_EDGE}]+$", "")), r"^[\-_.]+|[\-_.]+$", "")
-    digits = F.regexp_count(token, F.lit(r"\p{N}"))
-    fine = token.rlike(r"^[\p{L}\p{N}\-_.]{4,24}$") & (digits > 0) & (F.size(F.array_distinct(F.regexp_extract_all(token, F.lit("."), F.lit(0)))) >= 3)
-    kept = F.when(token.rlike(r"\p{L}"), F.length(token) >= 5).when(digits.between(8, 14), True).otherwise(hinted & digits.between(4, 7))
-    return F.when(fine & kept, token)
+
+    def judged(token: Column) -> Column:
+        digits = F.regexp_count(token, F.lit(r"\p{N}"))
+        fine = token.rlike(r"^[\p{L}\p{N}\-_.]{4,24}$") & (digits > 0) & (F.size(F.array_distinct(F.regexp_extract_all(token, F.lit("."), F.lit(0)))) >= 3)
+        kept = F.when(token.rlike(r"\p{L}"), F.length(token) >= 5).when(digits.between(8, 14), True).otherwise(hinted & digits.between(4, 7))
+        return F.when(fine & kept, token)
+
+    return let(F.regexp_replace(F.upper(F.regexp_replace(raw, f"^[{_EDGE}]+|[{_EDGE}]+$", "")), r"^[\-_.]+|[\-_.]+$", ""), judged)
 
 
 def is_hinted(line: Column) -> Column:
@@ -179,6 +188,15 @@ def line_identifiers(line: Column) -> Column:
     return F.filter(F.transform(tokens, lambda t: identifier_token(t, is_hinted(line))), lambda t: t.isNotNull())
 
 
+#: Fixed value: identifiers of a label at most.
+MOST_IDENTIFIERS = 12
+
+
+def label_identifiers(lines: Column) -> Column:
+    """The identifiers of a label's lines, each once in the order in which they come up, at most so many."""
+    return F.slice(F.array_distinct(F.flatten(F.transform(lines, line_identifiers))), 1, MOST_IDENTIFIERS)
+
+
 #: Words of the paperwork that travels with goods.
 PAPERWORK = ("tracking", "ship to", "ship from", "sold to", "bill to", "invoice", "purchase order", "order #", "po #", "carrier", "freight", "address", "phone", "fax", "tel:", "fedex", "usps", "ups ", "dhl", "weight", "dimensions", "qty", "quan", "pallet", "lot #", "serial", "fragile", "this side up", "do not", "customer", "returns")
 

@@ -148,6 +148,19 @@ def leftovers(groups: DataFrame, limit: int, filled: DataFrame) -> DataFrame:
     return groups.where(F.col("position") > limit).select("lot", "position").unionByName(lost.where(F.col("position") <= limit).select("lot", "position"))
 
 
+def covered_views(groups: DataFrame, filled: DataFrame) -> DataFrame:
+    """(lot, owner, reason, frames): the folds of groups (lot, position, owner, reason) that a reading covers and that are not read themselves.
+
+    A fold stands only while its owner is among filled (lot, position); frames that are filled, too, explain themselves.
+    Views without a frame left give no row. Reasons come by their first frame.
+    """
+    folds = groups.where("reason is not null")
+    have = filled.select(F.col("lot").alias("f_lot"), F.col("position").alias("f_position")).distinct()
+    there = lambda c: F.col("lot").eqNullSafe(F.col("f_lot")) & (F.col(c) == F.col("f_position"))
+    left = folds.join(have, there("owner"), "left_semi").join(have, there("position"), "left_anti")
+    return left.groupBy("lot", "owner", "reason").agg(F.sort_array(F.collect_list("position")).alias("frames"))
+
+
 def routed(reports: DataFrame, lots: DataFrame) -> DataFrame:
     """reports (lot_number, any more) with the lot_id of the first lot (seq) that has their number; null where none has."""
     first = lots.groupBy("lot_number").agg(F.min_by("lot_id", "seq").alias("lot_id"))

@@ -172,6 +172,16 @@ QUERIES = {
     "sort_resale_desc": _sorted("resale", True),
     "sort_retail_desc": _sorted("retail", True),
     "sort_max_bid_asc": _sorted("maxBid", False),
+    "sort_scrape": _sorted("seq", True),
+    "sort_identifier_desc": _sorted("lot_number", True),
+    "sort_title_asc": _sorted("title", False),
+    "sort_title_desc": _sorted("title", True),
+    "sort_bid_asc": _sorted("bid", False),
+    "sort_bid_desc": _sorted("bid", True),
+    "sort_profit_asc": _sorted("profit", False),
+    "sort_resale_asc": _sorted("resale", False),
+    "sort_retail_asc": _sorted("retail", False),
+    "sort_max_bid_desc": _sorted("maxBid", True),
     "search_lot_number": _search("lot1"),
     "search_copy": _search("urgent"),
     "select_scope": select_scope,
@@ -205,6 +215,16 @@ ORACLE_SQL = {
     "sort_resale_desc": _sorted_sql("display_resale", "DESC"),
     "sort_retail_desc": _sorted_sql("display_retail", "DESC"),
     "sort_max_bid_asc": _sorted_sql("max_bid", "ASC"),
+    "sort_scrape": _sorted_sql("seq", "ASC"),
+    "sort_identifier_desc": _sorted_sql(NATURAL_SQL.format("lot_number"), "DESC"),
+    "sort_title_asc": _sorted_sql(NATURAL_SQL.format("title"), "ASC"),
+    "sort_title_desc": _sorted_sql(NATURAL_SQL.format("title"), "DESC"),
+    "sort_bid_asc": _sorted_sql("bid", "ASC"),
+    "sort_bid_desc": _sorted_sql("bid", "DESC"),
+    "sort_profit_asc": _sorted_sql("profit", "ASC"),
+    "sort_resale_asc": _sorted_sql("display_resale", "ASC"),
+    "sort_retail_asc": _sorted_sql("display_retail", "ASC"),
+    "sort_max_bid_desc": _sorted_sql("max_bid", "DESC"),
     "search_lot_number": _search_sql("lot1"),
     "search_copy": _search_sql("urgent"),
     "select_scope": _SELECTION_SQL + """ SELECT CASE WHEN count(c.lot_id) = 0 THEN 'none' WHEN count(c.lot_id) = count(*) THEN 'all' ELSE 'some' END AS scope, count(*) AS drawn, count(c.lot_id) AS selected

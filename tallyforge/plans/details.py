@@ -10,6 +10,7 @@ from tallyforge.functions import money as M
 from tallyforge.functions import phrases as P
 from tallyforge.functions import text as T
 from tallyforge.functions import urls as U
+from tallyforge.operators import answers as J
 from tallyforge.operators import board as B
 from tallyforge.operators import resolve as R
 from tallyforge.operators import scans as C
@@ -139,15 +140,83 @@ def pager_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page_link(_pagers(spark, sf_dir), 2)
 
 
+def covered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded frames that a reading of their owner covers."""
+    groups = C.grouped_frames(_frames(spark, sf_dir), limit=5)
+    return C.covered_views(groups, groups.where((F.col("lot") + F.col("position")) % 3 < 2).select("lot", "position")).withColumn("frames", _listed(F.col("frames")))
+
+
+def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as labels of several lines: their identifiers."""
+    k = F.col("p_partkey").cast("long")
+    n = F.lpad(k.cast("string"), 5, "0")
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("ZX"), F.lpad(i.cast("string"), 2, "0"), n)), " ")
+    lines = _case(
+        k,
+        F.array(_html("sku:ab", n, " / qty 12"), _html("UPC#0", n, "78 AB", n, "."), _html("AB", n)),
+        F.array(_html("plain ", n), F.lit("batch of 9")),
+        F.array(_html("Model: ", n), F.lit(None).cast("string"), _html("(Q-", n, ")")),
+        F.array(many, F.lit("later ABC-999")),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("part_id"), F.array_join(T.label_identifiers(F.filter(lines, lambda x: x.isNotNull())), ",").alias("codes"))
+
+
+def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as appraisals that fail in every way there is."""
+    n = F.col("event_id")
+    e = F.struct(
+        (n % 31 != 0).alias("has_key"), F.when(n % 5 > 0, F.when(n % 7 == 0, 0).otherwise(3)).alias("images"), F.when(n % 29 == 0, "http://h/a.jpg").alias("unavailable"),
+        F.when(n % 11 == 0, 429).when(n % 13 == 0, 500).otherwise(200).alias("status"), F.when(n % 17 == 0, "SAFETY").otherwise("STOP").alias("finish"), F.when(n % 19 == 0, "  ").otherwise("{}").alias("text"),
+        (n % 23 != 0).alias("decodes"), F.when(n % 3 == 0, 4).otherwise(0).alias("photographs"), (n % 4).alias("read"), (n % 9 != 0).alias("one_by_one"),
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", P.failure_kind(e).alias("kind"), e["status"].alias("status"))
+    return rows.select("event_id", "kind", P.short_reason(F.col("kind"), F.col("status")).alias("reason"))
+
+
+def step_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of rows: what each has done; and hints to wait as dates."""
+    n = F.col("event_id").cast("int")
+    step = _case(n, "readingPage", "evaluatingText", "photograph", "wholeGallery", "reconciling", "pricingManifest", "other")
+    ts = F.col("ts").cast("timestamp")
+    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(ts) + n % 90 - 20), "EEE, dd MMM yyyy HH:mm:ss")
+    return table(spark, sf_dir, "events").select("event_id", M.step_share(step, n % 12 - 1, n % 9).alias("share"), J.retry_after(F.concat(date, F.lit(" GMT")), ts).alias("seconds"))
+
+
+def line_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in words: how many, what one goes for, where they were seen; and the photographs of a lot's page in place of its card's."""
+    q, seq = F.col("quantity"), F.col("item_seq")
+    worth = F.when(F.col("part_id") % 3 > 0, (q * (F.col("part_id") % 50)).cast("double")).otherwise(0.0)
+    photos = F.slice(F.array(seq + 4, seq, seq + 9), F.lit(1), (F.col("part_id") % 4).cast("int"))
+    card = F.array(F.lit("card"))
+    return line_items(spark, sf_dir).select(
+        "lot_id", "item_seq", "part_id", P.quantity_text(q).alias("units"), P.unit_price_phrase(q, worth, worth / 2).alias("each"), P.photo_source(photos).alias("seen"),
+        F.array_join(P.replaced_images(card, F.when(F.col("part_id") % 5 > 0, F.transform(photos, lambda p: F.concat(F.lit("p"), p)))), ",").alias("images"),
+    )
+
+
 QUERIES = {
     q.__name__: q
-    for q in (labelled_photos, pending_photos, leftover_frames, reading_summaries, routed_reports, inventory_counts, repeated_line_phrases, job_shares, download_checks, text_rules, stream_first_users, pager_counts, pager_links)
+    for q in (covered_views, label_codes, failure_kinds, step_shares, line_phrases, labelled_photos, pending_photos, leftover_frames, reading_summaries, routed_reports, inventory_counts, repeated_line_phrases, job_shares, download_checks, text_rules, stream_first_users, pager_counts, pager_links)
 }
 
 _GROUPED = _FRAMES.format(limit=5) + ", g AS (SELECT s.lot, s.position, s.owner FROM said s)"
 _P = "CAST(p_partkey AS VARCHAR)"
 
 ORACLE_SQL = {
+    "covered_views": _FRAMES.format(limit=5)
+    + ", f AS (SELECT * FROM said WHERE reason IS NOT NULL AND (lot + owner) % 3 < 2 AND (lot + position) % 3 >= 2) SELECT lot, owner, reason, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS frames FROM f GROUP BY lot, owner, reason",
+    "label_codes": """SELECT CAST(p_partkey AS BIGINT) AS part_id, CASE p_partkey % 4 WHEN 0 THEN 'AB' || n || ',0' || n || '78' WHEN 1 THEN '' WHEN 2 THEN CASE WHEN len(list_distinct(string_split(n, ''))) >= 3 THEN n || ',' ELSE '' END || 'Q-' || n
+        ELSE array_to_string(list_transform(range(1, 13), lambda i: 'ZX' || lpad(CAST(i AS VARCHAR), 2, '0') || n), ',') END AS codes FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS n FROM part)""",
+    "failure_kinds": """WITH k AS (SELECT event_id, CASE WHEN event_id % 31 = 0 THEN 'missing_key' WHEN event_id % 29 = 0 THEN 'image_unavailable' WHEN event_id % 5 > 0 AND event_id % 7 = 0 THEN 'no_images' WHEN event_id % 3 = 0 AND event_id % 9 = 0 THEN 'scan_unsupported' WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN 'photographs_failed'
+            WHEN event_id % 11 = 0 THEN 'rate_limited' WHEN event_id % 13 = 0 THEN 'http' WHEN event_id % 17 = 0 THEN 'blocked' WHEN event_id % 19 = 0 THEN 'no_content' WHEN event_id % 23 = 0 THEN 'malformed' END AS kind FROM events)
+        SELECT event_id, kind, CASE kind WHEN 'missing_key' THEN 'missing API key' WHEN 'no_images' THEN 'no readable images' WHEN 'image_unavailable' THEN 'image unavailable' WHEN 'rate_limited' THEN 'rate limited' WHEN 'blocked' THEN 'blocked by safety filter' WHEN 'no_content' THEN 'empty model answer'
+            WHEN 'malformed' THEN 'unreadable model answer' WHEN 'photographs_failed' THEN 'no readable photographs' WHEN 'scan_unsupported' THEN 'one-photograph reads unsupported' WHEN 'http' THEN 'HTTP 500' END AS reason FROM k""",
+    "step_shares": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.2::DOUBLE + 0.7::DOUBLE * (least(greatest(event_id % 12 - 1, 0), greatest(event_id % 9, 1)) / greatest(event_id % 9, 1)) WHEN 3 THEN 0.6::DOUBLE WHEN 4 THEN 0.9::DOUBLE WHEN 5 THEN 0.9::DOUBLE END AS share,
+        CAST(greatest(event_id % 90 - 20, 0) AS DOUBLE) AS seconds FROM events""",
+    "line_phrases": f"""WITH i AS (SELECT *, CASE WHEN part_id % 3 > 0 THEN part_id % 50 ELSE 0 END AS unit, list_slice([item_seq + 4, item_seq, item_seq + 9], 1, part_id % 4) AS p FROM ({ITEMS_SQL}))
+        SELECT lot_id, item_seq, part_id, CASE WHEN quantity > 1 THEN quantity || ' unit(s)' END AS units, CASE WHEN quantity > 1 AND unit > 0 THEN '$' || printf('%.2f', CAST(unit AS DOUBLE)) || ' ea retail · $' || printf('%.2f', unit / 2) || ' ea resale' END AS each,
+        CASE len(p) WHEN 0 THEN NULL WHEN 1 THEN 'photograph ' || p[1] ELSE 'photographs ' || array_to_string(list_sort(p), ', ') END AS seen,
+        CASE WHEN part_id % 5 > 0 AND len(p) > 0 THEN array_to_string(list_transform(p, lambda x: 'p' || x), ',') ELSE 'card' END AS images FROM i""",
     "labelled_photos": _LABELS + " SELECT lot, position, CASE WHEN position % 3 > 0 THEN array_to_string(codes, ',') ELSE '' END AS codes, CASE WHEN position % 3 > 0 THEN array_to_string(wording, ',') ELSE '' END AS wording FROM labels WHERE position <= 4",
     "pending_photos": _GROUPED + " SELECT g.lot, g.position, 'u' || g.position % 4 AS url FROM g WHERE g.owner = g.position AND NOT EXISTS (SELECT 1 FROM g r WHERE r.lot = g.lot AND (r.lot + r.position) % 3 = 0 AND r.position % 4 = g.position % 4)",
     "leftover_frames": _GROUPED + " SELECT lot, position FROM g WHERE position > 4 OR (owner <> position AND (lot + owner) % 2 <> 0)",
