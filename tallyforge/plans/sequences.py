@@ -155,9 +155,10 @@ def long_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as photograph objects, merged by identifiers and names within a lot."""
-    unit = lambda c: (F.col(c) / F.col("quantity")).cast("double")
+    unit = lambda c: F.col(c).cast("double") / F.col("quantity")
     o = _sightings(spark, sf_dir).select("lot", "seq", "name", "brand", "quantity", "confidence", "identifiers", unit("retail").alias("unit_retail"), unit("resale").alias("unit_resale"), F.col("item_seq").alias("photo"))
-    o = o.dropDuplicates(["lot", "seq"]).withColumn("keys", R.merge_keys(F.col("name"), F.col("brand"), F.col("identifiers")))
+    rest = [c for c in o.columns if c not in ("lot", "seq")]
+    o = o.groupBy("lot", "seq").agg(F.min(F.struct(*rest)).alias("r")).select("lot", "seq", "r.*").withColumn("keys", R.merge_keys(F.col("name"), F.col("brand"), F.col("identifiers")))
     return R.merged(o, R.keyed_groups(o))
 
 
@@ -191,6 +192,19 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # objects reach each other over shared codes and names, step by step
+    "product_merge": f"""
+        WITH RECURSIVE o AS (SELECT lot_id, CAST(item_seq * 1000000 + part_id AS BIGINT) AS seq, part_id, min({{'name': p_name, 'brand': p_brand, 'quantity': quantity, 'confidence': confidence, 'retail': CAST(retail AS DOUBLE) / quantity, 'resale': CAST(resale AS DOUBLE) / quantity, 'photo': item_seq}}) AS x FROM ({ITEMS_SQL}) JOIN part ON p_partkey = part_id GROUP BY 1, 2, 3),
+        k AS (SELECT lot_id, seq, 'name:' || x.brand || '|' || x.name AS key FROM o UNION ALL SELECT lot_id, seq, 'id:' || lpad(CAST(part_id AS VARCHAR), 12, '9') FROM o WHERE part_id % 2 = 0),
+        e AS (SELECT DISTINCT a.lot_id, a.seq AS a, b.seq AS b FROM k a JOIN k b ON a.lot_id = b.lot_id AND a.key = b.key),
+        reach AS (SELECT lot_id, seq, seq AS r FROM o UNION SELECT e.lot_id, e.b, reach.r FROM reach JOIN e ON e.lot_id = reach.lot_id AND e.a = reach.seq),
+        l AS (SELECT lot_id, seq, min(r) AS label FROM reach GROUP BY 1, 2),
+        c AS (SELECT lot_id, label, string_agg(code, ', ' ORDER BY first) AS ids FROM (SELECT lot_id, label, lpad(CAST(part_id AS VARCHAR), 12, '9') AS code, min(seq) AS first FROM o JOIN l USING (lot_id, seq) WHERE part_id % 2 = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        m AS (SELECT lot_id, label, count(*) AS n, arg_max(x.name, (length(x.name), -seq)) AS name, arg_min(x.brand, seq) AS brand, max(x.quantity) AS q, max(x.retail) * greatest(max(x.quantity), 1) AS retail, max(x.resale) * greatest(max(x.quantity), 1) AS resale,
+                max(CASE x.confidence WHEN 'High' THEN 3 WHEN 'Med' THEN 2 ELSE 1 END) AS level, string_agg(DISTINCT CAST(x.photo AS VARCHAR), ', ' ORDER BY CAST(x.photo AS VARCHAR)) AS photos FROM o JOIN l USING (lot_id, seq) GROUP BY 1, 2),
+        t AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY resale DESC, retail DESC, label) AS place FROM m)
+        SELECT CAST(lot_id AS VARCHAR) AS lot, CAST(place AS INTEGER) AS place, label, name || CASE WHEN q > 1 THEN ' ×' || q ELSE '' END AS name, brand, q AS quantity, retail, resale, ['Low', 'Med', 'High'][level] AS confidence, n AS sightings, coalesce(ids, '') AS evidence,
+               'Merged on this machine from ' || n || ' photograph reading(s) (photograph(s) ' || photos || ').' AS note FROM t LEFT JOIN c USING (lot_id, label) WHERE place <= 12""",
     # parts have nothing in common with each other, so each is one line
     "long_fold": """WITH d AS (SELECT CAST(l_suppkey % 25 AS VARCHAR) AS lot, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, CAST(max(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY l_suppkey % 25, 2, 3, 4),
         g AS (SELECT lot, p, min((o, n * 100000 + p % 100000)) AS first, max(q) AS quantity, count(DISTINCT q) AS k, list_sort(list(DISTINCT q)) AS qs, count(*) AS c FROM d GROUP BY lot, p)
