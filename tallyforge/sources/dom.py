@@ -75,18 +75,21 @@ class Node:
 
     def inside(self, selectors: Sequence[str]) -> bool:
         """Whether the element or one around it matches a selector."""
+        every = index(tuple(selectors))
         node: Node | None = self
         while node is not None:
-            if any(node.matches(s) for s in selectors):
+            if any(node.matches(selectors[rank]) for rank in every.ranks(node)):
                 return True
             node = node.parent
         return False
 
     def first(self, selectors: Sequence[str]) -> Node | None:
         """The first element below that matches the earliest selector with any, found in one walk."""
-        best, found = len(selectors), None
+        every, best, found = index(tuple(selectors)), len(selectors), None
         for node in self.walk():
-            for rank in range(best):
+            for rank in every.ranks(node):
+                if rank >= best:
+                    break
                 if node.matches(selectors[rank]):
                     best, found = rank, node
                     break
@@ -96,11 +99,45 @@ class Node:
 
     def ranked(self, selectors: Sequence[str]) -> list[tuple[int, Node]]:
         """(rank, element) of all elements below that match, by the selector's rank and in document order."""
-        hits = [(rank, node.pre, node) for node in self.walk() for rank, s in enumerate(selectors) if node.matches(s)]
+        every = index(tuple(selectors))
+        hits = [(rank, node.pre, node) for node in self.walk() for rank in every.ranks(node) if node.matches(selectors[rank])]
         return [(rank, node) for rank, _, node in sorted(hits, key=lambda h: h[:2])]
 
 
-Test = Callable[[Node], bool]
+class Index:
+    """Selectors by what the element itself has to have: one of its attributes, its tag, or nothing."""
+
+    def __init__(self, selectors: tuple[str, ...]):
+        self.by: dict[str, list[int]] = {}
+        self.any: list[int] = []
+        for rank, selector in enumerate(selectors):
+            for _, tests in (chain[0] for chain in compiled(selector)):
+                needs = next((t.needs for t in tests if t.needs.startswith("@")), next((t.needs for t in tests), ""))
+                (self.by.setdefault(needs, []) if needs else self.any).append(rank)
+
+    def ranks(self, node: Node) -> list[int]:
+        """The selectors that may match an element, the earlier first."""
+        out = list(self.any)
+        for name in node.attributes:
+            out += self.by.get("@" + name, ())
+        out += self.by.get(node.tag, ())
+        return sorted(set(out)) if len(out) > 1 else out
+
+
+@functools.lru_cache(maxsize=256)
+def index(selectors: tuple[str, ...]) -> Index:
+    return Index(selectors)
+
+
+class Test:
+    """A test of an element, and what the element needs for it: `@` and an attribute, or a tag."""
+
+    __slots__ = ("holds", "needs")
+
+    def __init__(self, holds: Callable[[Node], bool], needs: str):
+        self.holds, self.needs = holds, needs
+
+
 _CHECKS = {"=": str.__eq__, "*": str.__contains__, "^": str.startswith, "$": str.endswith, "~": lambda have, want: want in have.split()}
 
 
@@ -108,8 +145,8 @@ def _attribute(name: str, kind: str, want: str, any_case: bool) -> Test:
     check = _CHECKS[kind]
     if any_case:
         want = want.lower()
-        return lambda node: name in node.attributes and check(node.lower(name), want)
-    return lambda node: name in node.attributes and check(node.attributes[name], want)
+        return Test(lambda node: name in node.attributes and check(node.lower(name), want), "@" + name)
+    return Test(lambda node: name in node.attributes and check(node.attributes[name], want), "@" + name)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -118,7 +155,7 @@ def _compound(text: str) -> tuple[Test, ...]:
     tag, rest = re.match(r"([a-zA-Z][\w-]*|\*)?(.*)", text, re.S).groups()
     tests: list[Test] = []
     if tag and tag != "*":
-        tests.append(lambda node, tag=tag.lower(): node.tag == tag)
+        tests.append(Test(lambda node, tag=tag.lower(): node.tag == tag, tag.lower()))
     at = 0
     for m in re.finditer(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$~]?)=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*))\s*(i)?\s*)?\]", rest):
         if m.start() != at:
@@ -130,7 +167,7 @@ def _compound(text: str) -> tuple[Test, ...]:
         elif identity:
             tests.append(_attribute("id", "=", identity, False))
         elif kind is None:
-            tests.append(lambda node, name=name.lower(): name in node.attributes)
+            tests.append(Test(lambda node, name=name.lower(): name in node.attributes, "@" + name.lower()))
         else:
             tests.append(_attribute(name.lower(), kind or "=", next((v for v in values if v is not None), ""), bool(any_case)))
     if at != len(rest) or not (tests or tag):
@@ -164,7 +201,7 @@ def compiled(selector: str) -> tuple[tuple[tuple[str, tuple[Test, ...]], ...], .
 def _chain(node: Node, chain: tuple[tuple[str, tuple[Test, ...]], ...]) -> bool:
     combinator, tests = chain[0]
     for test in tests:
-        if not test(node):
+        if not test.holds(node):
             return False
     if not combinator:
         return True

@@ -23,7 +23,7 @@ from tallyforge.functions import text as T
 from tallyforge.functions import urls as U
 from tallyforge.operators.links import page_wide
 from tallyforge.scratch import saved
-from tallyforge.sources.dom import UNSEEN, Node, parsed
+from tallyforge.sources.dom import Node, index, parsed
 
 
 @dataclass(frozen=True)
@@ -262,9 +262,11 @@ def _link(node: Node, base: str | None) -> dict:
 def _card_nodes(root: Node, profile: Profile) -> tuple[str, list[Node]]:
     """The earliest selector with a card, and its cards: hits outside of excluded parts with text or a sign of a lot on them."""
     hits: list[list[Node]] = [[] for _ in profile.cards]
-    best = len(profile.cards)
+    best, every = len(profile.cards), index(profile.cards)
     for node in root.walk():
-        for rank in range(min(best + 1, len(profile.cards))):
+        for rank in every.ranks(node):
+            if rank > best:
+                break
             if node.matches(profile.cards[rank]) and carries_signal(node, profile) and not node.inside(profile.exclude):
                 hits[rank].append(node)
                 best = min(best, rank)
