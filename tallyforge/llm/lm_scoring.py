@@ -34,7 +34,7 @@ from tallyforge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from tallyforge.llm.shingles import BASE, U64, mixed, word_hashes
 
 BLOCK = 1 << 20  # tokens
-SHARD = 1 << 22  # n-grams of a level that a shard is sent at most, about
+SHARD = 1 << 21  # n-grams of a level that a shard is sent at most, about
 K2, K3 = 8.0, 4.0
 STEP = 1 / 4096
 END = U64(0x5851F42D4C957F2D)  # stands for the end of a text, which is no word
@@ -88,7 +88,7 @@ class Block:
     def __init__(self, parts: list[bytes]):
         ids, nulls, train, lengths = (unpack(p) for p in parts[:4])
         self.ids, self.nulls, self.train, self.lengths = ids.view(np.int64), nulls > 0, train > 0, lengths.astype(np.int64)
-        self.words, self.token = unpack_sorted(parts[4]), unpack(parts[5]).astype(np.int64)
+        self.words, self.token = unpack_sorted(parts[4]), unpack(parts[5]).astype(np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.start = len(self.words)
         self.before = np.roll(self.token, 1)
@@ -99,17 +99,18 @@ class Block:
     def grams(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sorted distinct hashes, training count in the block, a token that ends it, which of them each token ends) of the level's n-grams."""
         hashes = np.append(self.words, U64(0x2545F4914F6CDD1D))  # the last one: the start of a text
-        at = np.arange(len(self.token)) if level < 3 else np.flatnonzero(self.before2 >= 0)
+        at = slice(None) if level < 3 else np.flatnonzero(self.before2 >= 0).astype(np.int32)
         key = mixed(hashes[self.token[at]] ^ U64(level))
         if level > 1:
             key = mixed(key * BASE + hashes[self.before[at]])
         if level > 2:
             key = mixed(key * BASE + hashes[self.before2[at]])
-        if not len(at):
-            return key, np.zeros(0, np.int64), at, at
+        if not len(key):
+            none = np.zeros(0, np.int64)
+            return key, none, none, none
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         learned = np.repeat(self.train, self.lengths)[at]
-        return distinct, np.bincount(back[learned], minlength=len(distinct)), at[first], back
+        return distinct, np.bincount(back[learned], minlength=len(distinct)), first if level < 3 else at[first], back.astype(np.int32)
 
 
 def requests(blocks: DataFrame, level: int, shards: int) -> DataFrame:
@@ -207,7 +208,7 @@ class Trie:
 
     def pairs(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The place of each token below the one before it (n: the start of a text), -1 where the pair was not seen."""
-        return self.successors.find(before * self.n + token)
+        return self.successors.find(before.astype(np.int64) * self.n + token)
 
     def score(self, token: np.ndarray, before: np.ndarray, pair: np.ndarray, node: np.ndarray) -> np.ndarray:
         """log10 P of each token; pair: its place below the one before, node: the place of the pair before it, -1 where there is none or it was not seen."""
@@ -233,7 +234,7 @@ def block_scores(block: Block, counts: dict[int, np.ndarray], docs: int, tokens:
     seen, ends3 = np.flatnonzero(c2 > 0), ends3[c3 > 0]
     place = np.zeros(len(c2), np.int64)
     place[seen] = np.arange(len(seen))
-    pairs = np.stack((block.before[ends2[seen]], block.token[ends2[seen]]))
+    pairs = np.stack((block.before[ends2[seen]], block.token[ends2[seen]])).astype(np.int64)
     triples = place[np.stack((pair_of[ends3 - 1], pair_of[ends3]))]
     trie = Trie(base, np.append(count, docs), pairs, c2[seen], triples, c3[c3 > 0])
     spans = [slice(a, a + CHUNK) for a in range(0, len(block.token), CHUNK)]
