@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,6 +33,14 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what finished jobs leave, a moment after they have been reported, so that their shuffle files go before the next large shuffle."""
+    time.sleep(0.5)
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """name, or name with underscores, as no column of df has it."""
     have = {c.lower() for c in df.columns}

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved, slices, small_batches, utf8_bytes
+from tallyforge.llm.common import let_go, saved, slices, small_batches, utf8_bytes
 from tallyforge.llm.elias_fano import EliasFano, mapped
 from tallyforge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from tallyforge.llm.shingles import BASE, U64, mixed, word_hashes
 
-BLOCK = 1 << 20  # tokens
+BLOCK = 1 << 19  # tokens
 SHARD = 1 << 21  # n-grams of a level that a shard is sent at most, about
 K2, K3 = 8.0, 4.0
 STEP = 1 / 4096
@@ -252,7 +252,10 @@ def scores(docs: DataFrame, train: Column | None = None, block: int = BLOCK, sha
     blocks = saved(token_blocks(docs, train, block), "lm-blocks")
     n_docs, n_tokens, tokens = (x or 0 for x in blocks.agg(F.sum("train_docs"), F.sum("train_tokens"), F.sum("tokens")).first())
     # one level at a time, the largest first, so that what has been shuffled for one is gone before the texts are
-    told = {level: saved(answers(requests(blocks, level, max(1, -(-tokens // shard))), level), f"lm-counts-{level}") for level in (3, 2, 1)}
+    told = {}
+    for level in (3, 2, 1):
+        told[level] = saved(answers(requests(blocks, level, max(1, -(-tokens // shard))), level), f"lm-counts-{level}")
+        let_go(spark)
     n_words = told[1].agg(F.sum("seen")).first()[0] or 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
