@@ -131,7 +131,7 @@ def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("part_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     code = F.lpad(F.col("part_id").cast("string"), 12, "9")
     return line_items(spark, sf_dir).join(part, "part_id").select(
-        F.col("lot_id").cast("string").alias("lot"), (F.col("item_seq") * 1_000_000 + F.col("part_id")).cast("long").alias("seq"), "item_seq", "name", "brand", "quantity", "confidence", "retail", "resale",
+        F.col("lot_id").cast("string").alias("lot"), (F.col("item_seq") * 1_000_000 + F.col("part_id")).cast("long").alias("seq"), "part_id", "item_seq", "name", "brand", "quantity", "confidence", "retail", "resale",
         F.when(F.col("part_id") % 2 == 0, F.array(code)).otherwise(F.array().cast("array<string>")).alias("identifiers"),
     )
 
@@ -156,9 +156,10 @@ def long_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as photograph objects, merged by identifiers and names within a lot."""
     unit = lambda c: F.col(c).cast("double") / F.col("quantity")
-    o = _sightings(spark, sf_dir).select("lot", "seq", "name", "brand", "quantity", "confidence", "identifiers", unit("retail").alias("unit_retail"), unit("resale").alias("unit_resale"), F.col("item_seq").alias("photo"))
-    rest = [c for c in o.columns if c not in ("lot", "seq")]
-    o = o.groupBy("lot", "seq").agg(F.min(F.struct(*rest)).alias("r")).select("lot", "seq", "r.*").withColumn("keys", R.merge_keys(F.col("name"), F.col("brand"), F.col("identifiers")))
+    o = _sightings(spark, sf_dir).select("lot", "seq", "part_id", "name", "brand", "quantity", "confidence", "identifiers", unit("retail").alias("unit_retail"), unit("resale").alias("unit_resale"), F.col("item_seq").alias("photo"))
+    key = ["lot", "seq", "part_id"]  # parts of 1,000,000 and more share numbers with those of the next item: two objects, though one node
+    rest = [c for c in o.columns if c not in key]
+    o = o.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select("lot", "seq", "r.*").withColumn("keys", R.merge_keys(F.col("name"), F.col("brand"), F.col("identifiers")))
     return R.merged(o, R.keyed_groups(o))
 
 
