@@ -32,3 +32,16 @@ def test_product_merge_keeps_both_objects_that_share_a_number(against_sql):
     items = [(1, 1, 1_000_005, 3, 30.0), (1, 2, 5, 7, 140.0), (1, 3, 6, 1, 11.0)]
     got, want = against_sql("product_merge", items, [(1_000_005, "much longer name"), (5, "short"), (6, "other")])
     assert got == want
+
+
+def test_thorough_scan_of_dear_parts(against_sql):
+    # a part's price is its number and more, beyond the 1,000,000 at which an answer's price ends
+    items = [(1, n, p, q, 10.0) for n, p, q in ((1, 1_199_999, 45), (2, 499_999, 50), (3, 700_001, 1))]
+    got, want = against_sql("thorough_scan", items, [])
+    assert got == want
+
+
+def test_thorough_scan_of_equal_prices(against_sql):
+    # 2 * 101 = 1 * 202: equal in resale and retail, the dearer part first though it comes later
+    got, want = against_sql("thorough_scan", [(1, 1, 100, 2, 10.0), (1, 2, 201, 1, 10.0)], [])
+    assert got == want
