@@ -45,6 +45,11 @@ def _html(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to as many tasks as a shuffle has: few bytes of a table become much HTML, so neither a file's splits nor partitions put together by size will do."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as catalogue pages of 20 cards, which print their fields in all the ways that sites do."""
     k = F.col("p_partkey").cast("long")
@@ -95,7 +100,8 @@ def lot_galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = _html('<head><meta property="og:image" content="/lead/', n, '.jpg"></head>')
     body = _case(k, _html('<div class="auc_slide left">', frame, strip, "</div>"), _html(strip, script), _html(head, "<p>none</p>", script), '<div class="auc_slide left"><p>soon</p></div>', _html(head, '<div class="auc_slide">', frame, "</div>"), "<p>no markup</p>")
     words = _case(k, _html('<div class="auc_info right"><p>Bid box</p><div class="active ins_cnt description-info-content">Lot Description: ', F.col("p_name"), "</div></div>"), _html('<div class="auc_info right">Description - ', F.col("p_type"), "</div>"), "")
-    pages = table(spark, sf_dir, "part").select(k.alias("page_id"), F.lit("https://www.example.org/lot/1").alias("url"), _html(body, words).alias("html"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
+    pages = parts.select(k.alias("page_id"), F.lit("https://www.example.org/lot/1").alias("url"), _html(body, words).alias("html"))
     return P.lot_pages(pages).withColumn("images", F.array_join("images", " "))
 
 

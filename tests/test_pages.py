@@ -230,3 +230,11 @@ def test_queries_over_pages(spark):
     assert listings.page_profiles(spark, sf).count() == listings.page_descriptions(spark, sf).count() == listings.page_numbers(spark, sf).count() == listings.page_gallery(spark, sf).count() == n
     cards = listings.listing_cards(spark, sf)
     assert cards.select("page_id").distinct().count() == n and cards.where("lot_number IS NULL or lot_number = ''").count() == 0
+
+
+@pytest.mark.parametrize("name", ["lot_galleries"])
+def test_rendered_pages_are_read_by_as_many_tasks_as_a_shuffle_has(spark, name):
+    from tallyforge.plans import listings
+
+    made = listings.QUERIES[name](spark, "/root/testdata/sf0.001") if name == "lot_galleries" else listings.catalogue(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
