@@ -71,7 +71,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         _html('<div class="lot-card x"', own_id, label, state, ">", body, "</div>"),
         _html("<li", own_id, label, state, ">", body, "<li>a</li>"),
     )
-    rows = table(spark, sf_dir, "part").select(page.alias("page_id"), F.struct(k.alias("k"), card.alias("card")).alias("c"), _html('<a href="/catalog/item', n, '">x</a>').alias("foot"))
+    parts = table(spark, sf_dir, "part").withColumn("page_id", page)
+    parts = dealt(parts, "page_id")
+    rows = parts.select("page_id", F.struct(k.alias("k"), card.alias("card")).alias("c"), _html('<a href="/catalog/item', n, '">x</a>').alias("foot"))
     pages = rows.groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("cards"), F.array_join(F.array_sort(F.collect_list("foot")), "").alias("feet"))
     inside = F.array_join(F.transform("cards", lambda c: c["card"]), "")
     html = _html('<nav><div data-lot-id="1">Lot 1 of the menu</div></nav><ul class="grid">', inside, "</ul><section>", F.col("feet"), "</section>")

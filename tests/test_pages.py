@@ -232,7 +232,7 @@ def test_queries_over_pages(spark):
     assert cards.select("page_id").distinct().count() == n and cards.where("lot_number IS NULL or lot_number = ''").count() == 0
 
 
-@pytest.mark.parametrize("name", ["lot_galleries"])
+@pytest.mark.parametrize("name", ["lot_galleries", "catalogue_profiles"])
 def test_rendered_pages_are_read_by_as_many_tasks_as_a_shuffle_has(spark, name):
     from tallyforge.plans import listings
 
