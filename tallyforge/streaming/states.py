@@ -117,46 +117,55 @@ class Replay(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", self.projection.state)
-        self.waiting = handle.getMapState("waiting", "seq long", f"ts timestamp, {self.projection.event}")
+        self.waiting = handle.getListState("waiting", f"seq long, ts long, {self.projection.event}")  # ts in microseconds
         self.seen = handle.getMapState("seen", "name string", "seq long")
 
-    def _settle(self, watermark: int) -> tuple[tuple, list[dict]]:
-        """Folds what the watermark has passed; the state then, and the events that are still to be held."""
-        events = _in_order([dict(zip(self.names, (*key, *value), strict=True)) for key, value in self.waiting.iterator()]) if self.waiting.exists() else []
-        state = tuple(self.settled.get()) if self.settled.exists() else self.projection.start
-        done = [e for e in events if e["ts"].timestamp() * 1000 <= watermark]
+    def _first(self, new: set[str], known: dict[str, bool]) -> Seen:
+        """Whether a name is new to the key; the state is asked once for each name, and new has those that it lacks."""
 
         def first(name: str) -> bool:
-            if self.seen.containsKey((name,)):
+            if name not in known:
+                known[name] = self.seen.containsKey((name,))
+            if known[name] or name in new:
                 return False
-            self.seen.updateValue((name,), (0,))
+            new.add(name)
             return True
 
+        return first
+
+    def _settle(self, watermark: int, rows: list[tuple], known: dict[str, bool]) -> tuple[tuple, list[dict]]:
+        """Takes rows in and folds what the watermark has passed; the state then, and the events that are still to be held.
+
+        Waiting events are read and written as one list, as every call on a state costs a message between processes.
+        """
+        held = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        last = {e[0]: e for e in (*held, *rows)}  # of a repeated number the last stays
+        events = _in_order([dict(zip(self.names, e, strict=True)) for e in last.values()])
+        state = tuple(self.settled.get()) if self.settled.exists() else self.projection.start
+        done = [e for e in events if e["ts"] <= watermark * 1000]
+        left = events[len(done) :]
         if done:
-            state = _replayed(self.projection, state, done, first)
+            new: set[str] = set()
+            state = _replayed(self.projection, state, done, self._first(new, known))
             self.settled.update(state)
-            for e in done:
-                self.waiting.removeKey((e["seq"],))
-        return state, events[len(done) :]
+            for name in new:
+                self.seen.updateValue((name,), (0,))
+                known[name] = True
+        if left and (rows or done):
+            self.waiting.put([tuple(e[n] for n in self.names) for e in left])
+        elif held and not left:
+            self.waiting.clear()
+        return state, left
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.updateValue((r["seq"],), tuple(r[n] for n in self.names[1:]))
-        state, events = self._settle(timerValues.getCurrentWatermarkInMs())
-        new: set[str] = set()
-
-        def first(name: str) -> bool:
-            if name in new or self.seen.containsKey((name,)):
-                return False
-            new.add(name)
-            return True
-
+        known: dict[str, bool] = {}
+        state, events = self._settle(timerValues.getCurrentWatermarkInMs(), [(r["seq"], round(r["ts"].timestamp() * 1_000_000), *(r[n] for n in self.names[2:])) for r in rows], known)
         if events:
-            self.handle.registerTimer(int(events[-1]["ts"].timestamp() * 1000) + 1)
-        yield Row(**dict(zip(self.told, (*key, *_replayed(self.projection, state, events, first)), strict=True)))
+            self.handle.registerTimer(events[-1]["ts"] // 1000 + 1)
+        yield Row(**dict(zip(self.told, (*key, *_replayed(self.projection, state, events, self._first(set(), known))), strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._settle(timerValues.getCurrentWatermarkInMs())
+        self._settle(timerValues.getCurrentWatermarkInMs(), [], {})
         return iter(())
 
     def close(self) -> None:
