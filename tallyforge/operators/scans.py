@@ -147,10 +147,10 @@ def reading_summary(objects: DataFrame) -> DataFrame:
     """(lot, photographs, objects, unpriced, identifiers) of objects (lot, position, seq, unit_retail, unit_resale, identifiers), identifiers each once without regard to case in order."""
     empty = F.expr("cast(array() as array<string>)")
     ordered = F.sort_array(F.collect_list(F.struct("position", "seq", F.coalesce("identifiers", empty).alias("ids"))))
-    return objects.groupBy("lot").agg(
-        F.count_distinct("position").alias("photographs"), F.count(F.lit(1)).alias("objects"), F.count_if(~P.is_priced(F.col("unit_retail"), F.col("unit_resale"))).alias("unpriced"),
-        A.first_spellings(F.flatten(F.transform(ordered, lambda x: x["ids"]))).alias("identifiers"),
-    )
+    # photographs are counted in the row that holds the objects: counting them apart would shuffle all objects once more
+    rows = objects.groupBy("lot").agg(ordered.alias("o"), F.count(F.lit(1)).alias("objects"), F.count_if(~P.is_priced(F.col("unit_retail"), F.col("unit_resale"))).alias("unpriced"))
+    photographs = F.size(F.array_distinct(F.filter("o.position", lambda p: p.isNotNull()))).cast("long")
+    return rows.select("lot", photographs.alias("photographs"), "objects", "unpriced", A.first_spellings(F.flatten(F.transform("o", lambda x: x["ids"]))).alias("identifiers"))
 
 
 def leftovers(groups: DataFrame, limit: int, filled: DataFrame) -> DataFrame:
