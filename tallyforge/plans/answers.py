@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import answers as J
-from tallyforge.scratch import scratch_path
+from tallyforge.scratch import saved, scratch_path
 from tallyforge.sources.archive import ReadingArchive
 from tallyforge.sources.bindings import ITEMS_SQL, line_items, table
 from tallyforge.streaming import scan_events
@@ -55,7 +55,8 @@ def request_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items whose readings were stored, stored anew for every third part, and forgotten for every fifth order, matched by address."""
-    item = line_items(spark, sf_dir).groupBy(F.col("lot_id").cast("string").alias("lot"), F.concat(F.lit("https://img/"), "part_id").alias("url")).agg(F.min("item_seq").alias("position"), F.min("part_id").alias("part"))
+    item = line_items(spark, sf_dir).groupBy("lot_id", "part_id").agg(F.min("item_seq").alias("position"))
+    item = saved(item.select(F.col("lot_id").cast("string").alias("lot"), F.concat(F.lit("https://img/"), "part_id").alias("url"), "position", F.col("part_id").alias("part")), "photographs")
     reading = item.select("lot", F.lit("m").alias("model"), F.lit(1).alias("version"), "url", "position", F.lit(1).cast("long").alias("generation"), F.concat(F.lit("first "), "part").alias("summary"), "part")
     archive = ReadingArchive(spark, scratch_path(spark, "readings"))
     archive.store(reading)
