@@ -52,8 +52,10 @@ def newest(outcomes: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ("started", "stopped", "skipped", "failed", "valued"))), F.col("kind"))
     items = F.coalesce("items", F.array().cast("array<struct<retail:decimal(18,4),resale:decimal(18,4)>>"))
     row = F.struct("attempt", rank.alias("rank"), "kind", "message", _sum(items, "retail").alias("retail"), _sum(items, "resale").alias("resale"), F.size(items).alias("item_count"), "images", "passes")
-    per = outcomes.where(rank > 0).groupBy("lot_id").agg(
-        F.max(row).alias("last"), F.max(F.when(F.col("kind") == "valued", row)).alias("v"), F.max(F.when(F.col("kind") == "stopped", F.col("attempt"))).alias("stop")
+    # rows are sorted to be combined, so their items, of any number, are summed up before
+    rows = outcomes.where(rank > 0).select("lot_id", F.inline(F.array(F.struct(row.alias("row")))))
+    per = rows.groupBy("lot_id").agg(
+        F.max("row").alias("last"), F.max(F.when(F.col("row.kind") == "valued", F.col("row"))).alias("v"), F.max(F.when(F.col("row.kind") == "stopped", F.col("row.attempt"))).alias("stop")
     )
     state = F.create_map(*map(F.lit, ("started", "analyzing", "stopped", "pending", "skipped", "skipped", "failed", "failed", "valued", "completed")))
     kept = F.col("v").isNotNull() & (F.col("stop").isNull() | (F.col("stop") < F.col("v.attempt")))

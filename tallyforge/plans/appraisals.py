@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import appraisals as A
-from tallyforge.scratch import scratch_path
+from tallyforge.scratch import saved, scratch_path
 from tallyforge.sources.bindings import ITEMS_SQL, LOTS_SQL, line_items, lots
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> A.OutcomeLedger:
     """Orders' attempts in three batches, each of which comes twice: a start, what the line items give, a later failure, skip or stop of some."""
-    i = line_items(spark, sf_dir).groupBy("lot_id").agg(F.collect_list(F.struct("retail", F.col("resale").alias("resale"))).alias("items"))
+    i = saved(line_items(spark, sf_dir).groupBy("lot_id").agg(F.collect_list(F.struct("retail", F.col("resale").alias("resale"))).alias("items")), "items")
     lot = F.col("lot_id")
 
     def outcome(attempt: int, kind: str, where, items=None) -> DataFrame:
