@@ -9,7 +9,8 @@ ends themselves follow from the ids, as an id has one length in bytes.
 
 How often each pair of ids is linked corpus-wide comes back to the documents by parts of about PART links: a part's
 distinct pairs are joined with the counts over all parts, so a pair travels once a part however frequent it is, and the
-part's documents are met by a dictionary no larger than the part.
+part's documents are met by a dictionary no larger than the part. Parts are as many as the links ask for, not as there are
+tasks: what several tasks hold of PART links is one part.
 
 Words repeat far more often than texts, so a task encodes each distinct piece once: no token of A or B reaches over a blank
 that stands after another character and before a visible one, which `_cuttable` checks against B's pieces. Pieces meet by
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import saved, slices, small_batches, utf8_bytes
@@ -390,6 +391,14 @@ def pairs_of(documents: DataFrame) -> DataFrame:
     return documents.where("n_links > 0").select("part", "pairs", "counts").mapInArrow(rows, "part long, pair long, n long")
 
 
+def joint_parts(documents: DataFrame, part: int = PART) -> DataFrame:
+    """documents with small parts put together, in order, to parts of about so many links (twice as many, and a document, at most)."""
+    sizes = documents.groupBy("part").agg(F.sum("n_links").alias("links"))  # a row a task, or for each PART links
+    before = F.coalesce(F.sum("links").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joint = sizes.select(F.col("part").alias("old"), F.floor(before / part).alias("joint"))
+    return documents.join(F.broadcast(joint), F.col("part") == F.col("old")).withColumn("part", F.col("joint")).drop("old", "joint")
+
+
 def pair_counts(told: DataFrame, size_b: int) -> DataFrame:
     """(pair, count, best): corpus-wide counts of linked ids, and whether no other A id is linked more often with the B id."""
     total = told.groupBy("pair").agg(F.sum("n").alias("count"))
@@ -400,8 +409,8 @@ def pair_counts(told: DataFrame, size_b: int) -> DataFrame:
 def align(docs: DataFrame, path_a: str, path_b: str, groups: bool = False, part: int = PART) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, groups (``a1,a2|b1;a3|b2``)."""
     size_b = len(pair(path_a, path_b).bytes_b)
-    documents = saved(swept(events(docs, path_a, path_b), path_a, path_b, groups, part), "aligned")
-    told = saved(pairs_of(documents), "linked-ids")
+    documents = joint_parts(saved(swept(events(docs, path_a, path_b), path_a, path_b, groups, part), "aligned"), part)
+    told = saved(pairs_of(documents).groupBy("part", "pair").agg(F.sum("n").alias("n")), "linked-ids")
     known = told.join(pair_counts(told, size_b), "pair").select("part", F.lit(0).alias("kind"), "pair", "count", "best")
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "counts", "groups"]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"]

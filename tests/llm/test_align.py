@@ -145,3 +145,12 @@ def fast(plain, texts):
 def test_empty(spark):
     assert align.align(spark.createDataFrame([], "doc_id long, text string"), *PATHS).collect() == []
     assert [tuple(r) for r in align.align(spark.createDataFrame([(None, None)], "doc_id long, text string"), *PATHS).collect()] == [(None, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_parts_follow_the_links_and_not_the_tasks(spark):
+    from tallyforge.llm import align as L
+
+    documents = spark.createDataFrame([(t << 32, t, 10) for t in range(40)], "part long, doc_id long, n_links long")
+    joint = L.joint_parts(documents, 100)
+    assert joint.columns == documents.columns
+    assert sorted(r["count"] for r in joint.groupBy("part").count().collect()) == [10] * 4
