@@ -45,3 +45,10 @@ def test_thorough_scan_of_equal_prices(against_sql):
     # 2 * 101 = 1 * 202: equal in resale and retail, the dearer part first though it comes later
     got, want = against_sql("thorough_scan", [(1, 1, 100, 2, 10.0), (1, 2, 201, 1, 10.0)], [])
     assert got == want
+
+
+def test_thorough_scan_reads_all_photographs(against_sql):
+    # position 7 and beyond, each a part of its own; 9 and 18 show one picture
+    items = [(1, n, p, 1, 10.0) for n, p in enumerate((9, 2, 4, 5, 7, 8, 10, 18, 11, 13, 14, 16, 17, 19), start=1)]
+    got, want = against_sql("thorough_scan", items, [])
+    assert got == want and sum(got[1].values()) == 13
