@@ -102,3 +102,22 @@ def test_rows_of_a_large_block_grow_with_its_sets(spark, monkeypatch):
         assert all(got[n + i] == n + i - i % 2 for i in range(n))
     small, large = sum(sent[: len(sent) // 2]), sum(sent[len(sent) // 2 :])
     assert large < 8 * small
+
+
+def test_a_shingle_takes_no_more_bytes_where_buckets_are_many(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(60))) for i in range(2400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(1)
+    sent = [df.mapInArrow(jaccard_join._dealt(n, 8), jaccard_join.ROWS).where(F.col("kind") == jaccard_join.LISTED).agg(F.sum(F.length("blob") - 56)).first()[0] for n in (64, 1024)]
+    assert sent[1] <= sent[0] < 10 * 2400 * 56
+
+
+def test_equal_sets_of_many_batches_and_buckets(spark, monkeypatch):
+    """Copies lie in several batches, of which some are equal as a whole; hashes are sent short."""
+    monkeypatch.setattr(jaccard_join, "bucketed", lambda rows: (300, 8))
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 60))) for _ in range(30)]
+    rows = [(i, base[i % 30]) for i in range(90)]  # three partitions of the same texts
+    rows += [(90 + i, re.sub(r"w7\d*", "x", base[i % 30])) for i in range(30)] + [(120, None), (121, "")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows[:90], 3).union(spark.sparkContext.parallelize(rows[90:], 2)), "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_join(df).collect()), key=str) == brute(rows)
