@@ -126,20 +126,20 @@ def pre_price_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.pre_prices(e.select("event_id", text.alias("text"))).select("event_id", "status", "retail", "resale", "confidence")
 
 
-def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as sightings: every second one has its part's code as identifier, every third the part's type as model."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("part_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+def _sightings(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Line items as sightings, every second part's with its code as identifier; more: further columns of the part."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("part_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), *more)
     code = F.lpad(F.col("part_id").cast("string"), 12, "9")
     return line_items(spark, sf_dir).join(part, "part_id").select(
         F.col("lot_id").cast("string").alias("lot"), (F.col("item_seq") * 1_000_000 + F.col("part_id")).cast("long").alias("seq"), "part_id", "item_seq", "name", "brand", "quantity", "confidence", "retail", "resale",
-        F.when(F.col("part_id") % 2 == 0, F.array(code)).otherwise(F.array().cast("array<string>")).alias("identifiers"),
+        F.when(F.col("part_id") % 2 == 0, F.array(code)).otherwise(F.array().cast("array<string>")).alias("identifiers"), *part.columns[3:],
     )
 
 
 def product_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lot's line items as sightings, folded greedily."""
-    s = _sightings(spark, sf_dir)
-    f = R.fold(s.select("lot", F.lit(0).alias("batch"), "seq", "name", "brand", "quantity", "confidence", "identifiers", F.array("item_seq").alias("views")))
+    """Each lot's line items as sightings, every third part's with its type as model, folded greedily."""
+    s = _sightings(spark, sf_dir, F.col("p_type").alias("type")).withColumn("model", F.when(F.col("part_id") % 3 == 0, F.col("type")).otherwise(""))
+    f = R.fold(s.select("lot", F.lit(0).alias("batch"), "seq", "name", "brand", "model", "quantity", "confidence", "identifiers", F.array("item_seq").alias("views")))
     return f.select("lot", "line", "name", "brand", "quantity", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"), "reason", "confidence", F.array_join("identifiers", ",").alias("identifiers"), F.array_join(F.transform("views", lambda x: x.cast("string")), ",").alias("views"), "sightings")
 
 
